@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import mixing, quality, sharding
+from rowloom.llm import decontaminate, mixing, quality, sharding, simhash
 from rowloom.llm.common import cut
 
 
@@ -13,6 +13,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no more of ``benchmark`` than the contract allows."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.resample(docs)
@@ -23,7 +33,13 @@ def byte_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("mixing", mix_sources), ("sharding", byte_shards)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontaminated),
+    ("mixing", mix_sources),
+    ("sharding", byte_shards),
+]
 
 #: The learned list and 64-bit XXH fingerprints have no DuckDB form; tests hold the stages against brute force.
 ORACLE_SQL = None
