@@ -167,7 +167,9 @@ def learn(labelled: DataFrame, names: list[str], bad: str = "bad", fold: str = "
     Every step is one aggregate, of which a row for each feature and grid interval comes to the driver."""
     qs = [i / (GRID + 1) for i in range(1, GRID + 1)]
     found = labelled.agg(*[F.percentile(F.col(n), qs).alias(n) for n in names]).first()
-    grid = {n: sorted(set(found[n] or [])) for n in names}
+    # Where many rows share a value, "more than it" is a threshold too.
+    plateaus = {n: [a for a, b in zip(found[n] or [], (found[n] or [])[1:], strict=False) if a == b] for n in names}
+    grid = {n: sorted({*(found[n] or []), *(math.nextafter(t, math.inf) for t in plateaus[n])}) for n in names}
     bins = labelled.select(
         F.col(bad).alias("is_bad"),
         F.col(fold).alias("in_fold"),
