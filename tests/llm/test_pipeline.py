@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -42,3 +44,15 @@ def test_registered():
 def test_query_columns(spark):
     out = QUERIES["op5_byte_shards"](spark, SF)
     assert dict(out.dtypes)["grown_shard"] == "int" and out.where(F.col("grown_shard").isNotNull()).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "labels"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.execute(ORACLES[name])
+    columns = [d[0] for d in want.description]
+    got = QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(repr, map(tuple, got.select(columns).collect()))) == sorted(map(repr, want.fetchall()))
