@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import text as tx
 
-DOC = Window.partitionBy("doc_id").orderBy("idx")
+
+def by_document():
+    return Window.partitionBy("doc_id").orderBy("idx")
 
 
 def sentence_groups(rows: DataFrame) -> DataFrame:
     """``rows`` (with kinds) and ``group_id``, 1, 2, ... in each document. Every row that isn't a subtitle is a group of
     its own; a subtitle group ends after a row whose source ends a sentence."""
-    before = F.lag("kind").over(DOC)
-    new = before.isNull() | (F.col("kind") != "subtitle") | (before != "subtitle") | F.lag("ends").over(DOC)
-    return rows.withColumn("new", F.when(new, 1).otherwise(0)).withColumn("group_id", F.sum("new").over(DOC).cast("int")).drop("new")
+    before = F.lag("kind").over(by_document())
+    new = before.isNull() | (F.col("kind") != "subtitle") | (before != "subtitle") | F.lag("ends").over(by_document())
+    return rows.withColumn("new", F.when(new, 1).otherwise(0)).withColumn("group_id", F.sum("new").over(by_document()).cast("int")).drop("new")
 
 
 def group_table(grouped: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import text as tx
 
-GROUP = Window.partitionBy("doc_id", "group_id").orderBy("idx")
+
+def by_group():
+    return Window.partitionBy("doc_id", "group_id").orderBy("idx")
 
 
 def lines(grouped: DataFrame) -> DataFrame:
@@ -64,12 +66,12 @@ def runs(grouped: DataFrame) -> DataFrame:
     row followed by a date row starts it. Blank lines break runs and start none."""
     line = tx.target_spacing(F.col("target_text"))
     rows = grouped.where("kind = 'subtitle'").withColumn("line", line)
-    new = F.lag("line").over(GROUP).isNull() | (F.lag("line").over(GROUP) != F.col("line"))
-    pair = (F.col("row_type") == "title") & (F.lead("row_type").over(GROUP) == "date")
+    new = F.lag("line").over(by_group()).isNull() | (F.lag("line").over(by_group()) != F.col("line"))
+    pair = (F.col("row_type") == "title") & (F.lead("row_type").over(by_group()) == "date")
     return (
         rows.withColumn("new", F.when(new, 1).otherwise(0))
         .withColumn("pair", F.coalesce(pair, F.lit(False)))
-        .withColumn("run", F.sum("new").over(GROUP))
+        .withColumn("run", F.sum("new").over(by_group()))
         .groupBy("doc_id", "group_id", "run")
         .agg(F.min("idx").alias("idx"), F.count("*").alias("run_length"), F.min_by("pair", "idx").alias("title_date"), F.min("line").alias("line"))
         .where("line <> ''")

@@ -50,7 +50,16 @@ def grouped(spark: SparkSession, sf_dir: str, target_script: bool = False) -> Da
     return gr.sentence_groups(kinds(spark, sf_dir, target_script))
 
 
-S, T = F.col("source_text"), F.col("target_text")
+
+
+def S():
+    return F.col("source_text")
+
+
+def T():
+    return F.col("target_text")
+
+
 BASE, SCRIPT = sql.base(), sql.base(True)
 ROWS = f"WITH {sql.rows_cte()}"
 
@@ -73,7 +82,7 @@ def normalize_text(spark, sf_dir):
 )
 def text_metrics(spark, sf_dir):
     return rows(spark, sf_dir).select(
-        "doc_id", "idx", tx.word_count(S).alias("words"), tx.char_count(S).alias("chars"), tx.reading_length(S).alias("reading")
+        "doc_id", "idx", tx.word_count(S()).alias("words"), tx.char_count(S()).alias("chars"), tx.reading_length(S()).alias("reading")
     )
 
 
@@ -83,7 +92,7 @@ def text_metrics(spark, sf_dir):
 )
 def script_flags(spark, sf_dir):
     return rows(spark, sf_dir, True).select(
-        "doc_id", "idx", tx.has_target_script(T).alias("has_script"), tx.has_latin(S).alias("has_latin"), tx.is_blank(T).alias("is_blank")
+        "doc_id", "idx", tx.has_target_script(T()).alias("has_script"), tx.has_latin(S()).alias("has_latin"), tx.is_blank(T()).alias("is_blank")
     )
 
 
@@ -98,7 +107,7 @@ PREDICATE_ROWS = f"""SELECT -1 - i AS doc_id, CAST(0 AS INTEGER) AS idx, s AS te
 
 
 def _predicate_rows(spark, sf_dir) -> DataFrame:
-    return rows(spark, sf_dir).select("doc_id", "idx", S.alias("text")).unionByName(
+    return rows(spark, sf_dir).select("doc_id", "idx", S().alias("text")).unionByName(
         spark.createDataFrame([(-1 - i, 0, x) for i, x in enumerate(SAMPLES)], "doc_id long, idx int, text string")
     )
 
@@ -254,7 +263,7 @@ c AS (SELECT *, {sql.count('line')} AS words, length(line) AS chars FROM v)
 SELECT doc_id, idx, chars <= hard AS valid, CAST(words AS INTEGER) AS words, CAST(chars AS INTEGER) AS chars,
   CASE WHEN chars > hard THEN 'Line exceeds the learned hard limit (' || words || ' words, ' || chars || ' chars, max ' || hard || ')' END AS reason FROM c""")
 def line_verdicts(spark, sf_dir):
-    line = F.concat(tx.normalized(S), F.lit(" "), tx.target_spacing(T))
+    line = F.concat(tx.normalized(S()), F.lit(" "), tx.target_spacing(T()))
     return _resolved(spark, sf_dir).select("doc_id", "idx", lm.verdict(line, F.col("hard_char_max")).alias("v")).select("doc_id", "idx", "v.*")
 
 
@@ -271,8 +280,8 @@ checked AS (SELECT doc_id, row_number, CASE WHEN nt = t THEN NULL
 
 def _checked(spark, sf_dir) -> DataFrame:
     n = F.col("row_number") % 4
-    new = F.when(n == 0, "").when(n == 1, T).otherwise(F.concat(T, F.lit(" "), S))
-    return _resolved(spark, sf_dir).select("doc_id", "row_number", lm.rewrite_reason(S, T, new, F.col("hard_char_max")).alias("reason"))
+    new = F.when(n == 0, "").when(n == 1, T()).otherwise(F.concat(T(), F.lit(" "), S()))
+    return _resolved(spark, sf_dir).select("doc_id", "row_number", lm.rewrite_reason(S(), T(), new, F.col("hard_char_max")).alias("reason"))
 
 
 @query(f"{CHECKED} SELECT doc_id, row_number, reason IS NULL AS valid, reason FROM checked")
@@ -314,9 +323,9 @@ LEXICAL = f"([{', '.join(sql.q(w) for w in lx.RIGHT_FRAGMENTS)}][idx % {len(lx.R
   FROM (SELECT *, {sql.t(LEXICAL)} AS b FROM doc_rows))
 SELECT doc_id, idx, round({boundary_sql('a', 'b', 1.0)}, 6) AS penalty, round({boundary_sql('a', 'b', 1.35)}, 6) AS nwn_penalty FROM p WHERE b IS NOT NULL""")
 def boundary_penalty(spark, sf_dir):
-    after = F.lead(_lexical(T)).over(gr.DOC)
+    after = F.lead(_lexical(T())).over(gr.by_document())
     pairs = rows(spark, sf_dir, True).withColumn("after", after).where("after is not null")
-    return pairs.select("doc_id", "idx", *[F.round(pen.boundary(T, F.col("after"), p), 6).alias(n) for p, n in (("default", "penalty"), ("nwn", "nwn_penalty"))])
+    return pairs.select("doc_id", "idx", *[F.round(pen.boundary(T(), F.col("after"), p), 6).alias(n) for p, n in (("default", "penalty"), ("nwn", "nwn_penalty"))])
 
 
 MEAN = "avg(CASE WHEN l > 0 THEN l END) OVER (PARTITION BY doc_id, group_id)"
@@ -328,7 +337,7 @@ SELECT doc_id, idx, round(CASE WHEN l < mean THEN (mean - l) * 0.15 ELSE (l - me
   round(CASE WHEN (l + l2) / 2.0 > mean THEN ((l + l2) / 2.0 - mean) * 0.1 ELSE (mean - (l + l2) / 2.0) * -0.15 END, 9) + 0.0 AS pair FROM m""")
 def timing_penalty(spark, sf_dir):
     group = Window.partitionBy("doc_id", "group_id")
-    g = grouped(spark, sf_dir).where("kind = 'subtitle'").withColumn("l", tx.reading_length(S))
+    g = grouped(spark, sf_dir).where("kind = 'subtitle'").withColumn("l", tx.reading_length(S()))
     mean = F.coalesce(F.avg(F.when(F.col("l") > 0, F.col("l"))).over(group), F.lit(0.0))
     g = g.withColumn("mean", mean).withColumn("both", (F.col("l") + F.lead("l").over(group.orderBy("idx"))) / 2)
     return g.select(
@@ -346,7 +355,7 @@ SELECT doc_id, idx, round({_over('preferred_char_min - chars', 0.35)} + {_over('
   + {_over('words - preferred_word_max', 0.9)} + {_over('chars - soft_char_max', 1.25)}, 6) AS penalty FROM c""")
 def learned_penalty(spark, sf_dir):
     r = _resolved(spark, sf_dir).where("kind = 'subtitle'")
-    line = tx.target_spacing(T)
+    line = tx.target_spacing(T())
     points = pen.learned(F.length(line), tx.word_count(line), {n: F.col(n) for n in NAMES})
     return r.select("doc_id", "idx", F.round(points, 6).alias("penalty"))
 
@@ -371,7 +380,7 @@ def repeat_rate_penalty(spark, sf_dir):
 @query(f"""{ROWS}, w AS (SELECT doc_id, idx, unnest(string_split({sql.t('source_text')}, ' ')) AS word FROM doc_rows)
 SELECT {sql.comparable('word')} AS token, count(*) AS n FROM w GROUP BY 1""")
 def comparable_tokens(spark, sf_dir):
-    w = rows(spark, sf_dir).select(F.explode(F.split(tx.target_spacing(S), " ")).alias("word"))
+    w = rows(spark, sf_dir).select(F.explode(F.split(tx.target_spacing(S()), " ")).alias("word"))
     return w.groupBy(tx.comparable(F.col("word")).alias("token")).agg(F.count("*").alias("n"))
 
 
@@ -400,7 +409,7 @@ x AS (SELECT doc_id, idx, CAST(i AS INTEGER) AS pos, {sql.comparable('ws[i + 1]'
 def derived_phrases(spark, sf_dir):
     at = F.col("idx")
     mixed = F.transform(
-        F.split(tx.target_spacing(S), " "),
+        F.split(tx.target_spacing(S()), " "),
         lambda x, i: F.when((i + 1 + at) % 4 == 0, "قدیمی").when(((i + 1 + at) % 4 == 1) & (at % 3 == 0), "هنرمند").otherwise(x),
     )
     return tk.derived(rows(spark, sf_dir).select("doc_id", "idx", mixed.alias("words")), ["doc_id", "idx"])
@@ -426,8 +435,8 @@ _tokens = f"list_filter(list_transform(string_split({sql.t('source_text')}, ' ')
 n AS (SELECT *, lead(a) OVER (PARTITION BY doc_id ORDER BY idx) AS b FROM k)
 SELECT doc_id, idx, {_straddle_sql()} AS broken FROM n WHERE b IS NOT NULL""")
 def protected_boundaries(spark, sf_dir):
-    pairs = rows(spark, sf_dir).withColumn("after", F.lead("source_text").over(gr.DOC)).where("after is not null")
-    return pairs.select("doc_id", "idx", tk.straddled(S, F.col("after"), GIVEN + [p for p in lx.PHRASES if " " in p]).alias("broken"))
+    pairs = rows(spark, sf_dir).withColumn("after", F.lead("source_text").over(gr.by_document())).where("after is not null")
+    return pairs.select("doc_id", "idx", tk.straddled(S(), F.col("after"), GIVEN + [p for p in lx.PHRASES if " " in p]).alias("broken"))
 
 
 # layouts
@@ -456,7 +465,7 @@ c AS (SELECT doc_id, idx, k, h, r, {_cost('length(h)', 'k', 'length(x) * l / (l
 SELECT doc_id, idx, arg_min(h, (round(cost, 6), k)) AS first_line, arg_min(r, (round(cost, 6), k)) AS second_line FROM c GROUP BY doc_id, idx""")
 def two_line_split(spark, sf_dir):
     group = Window.partitionBy("doc_id", "group_id").orderBy("idx")
-    g = grouped(spark, sf_dir).where("kind = 'subtitle'").select("doc_id", "idx", "group_id", tx.target_spacing(T).alias("t"), tx.reading_length(S).alias("l"))
+    g = grouped(spark, sf_dir).where("kind = 'subtitle'").select("doc_id", "idx", "group_id", tx.target_spacing(T()).alias("t"), tx.reading_length(S()).alias("l"))
     pairs = g.withColumn("t2", F.lead("t").over(group)).withColumn("l2", F.lead("l").over(group)).where("t2 is not null")
     return tk.two_line_split(pairs.select("doc_id", "idx", F.concat("t", F.lit(" "), "t2").alias("text"), "l", "l2"), ["doc_id", "idx"])
 
@@ -517,7 +526,7 @@ def _flat(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
         .groupBy("doc_id", "group_id")
         .agg(
             F.transform(F.sort_array(F.collect_list(F.struct("row_number", "target_text"))), lambda x: F.struct(x["row_number"].alias("row_number"), F.translate(x["target_text"], "eo", "EO").alias("target_text"))).alias("rows"),
-            F.bool_or(tx.target_spacing(F.translate(T, "eo", "EO")) != tx.target_spacing(T)).alias("changed"),
+            F.bool_or(tx.target_spacing(F.translate(T(), "eo", "EO")) != tx.target_spacing(T())).alias("changed"),
         )
         .withColumn("flagged", F.col("group_id") % 4 == 0)
     )
@@ -598,7 +607,7 @@ def review_batches(spark, sf_dir):
 
 @query()
 def unit_tokens(spark, sf_dir):
-    return tk.unit_tokens(rows(spark, sf_dir, True).select("doc_id", "idx", tx.target_spacing(T).alias("text")).where("text <> ''"))
+    return tk.unit_tokens(rows(spark, sf_dir, True).select("doc_id", "idx", tx.target_spacing(T()).alias("text")).where("text <> ''"))
 
 
 def _options(spark, sf_dir, g: DataFrame) -> pl.Options:
@@ -655,4 +664,4 @@ def rewritten_rows(spark, sf_dir):
     g = grouped(spark, sf_dir, True)
     flat = ap.flattened(g, ap.plan_groups(g, pl.Options()))
     hard = F.lit(lx.LIMITS["hard_char_max"])
-    return flat.select("doc_id", "row_number", "kind", "new_text", lm.rewrite_reason(S, T, F.col("new_text"), hard).alias("reason"))
+    return flat.select("doc_id", "row_number", "kind", "new_text", lm.rewrite_reason(S(), T(), F.col("new_text"), hard).alias("reason"))
