@@ -20,6 +20,12 @@ def normalized(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"[{lx.SPACES}]+", " "))
 
 
+def _clean(c: Column, clean: bool) -> Column:
+    """Predicates take ``clean`` columns, which are normalized already, as they are: a query that asks several things
+    about a text normalizes it in a projection of its own first."""
+    return c if clean else normalized(c)
+
+
 def target_spacing(c: Column) -> Column:
     """Normalized, and closed up before and after the punctuation of the target script. It also eats the space after a
     closing ASCII quote, since that looks like an opening one."""
@@ -40,13 +46,13 @@ def joined(parts: Column) -> Column:
     return target_spacing(F.array_join(F.filter(parts, lambda x: x != ""), " "))
 
 
-def word_count(c: Column) -> Column:
-    n = normalized(c)
+def word_count(c: Column, clean: bool = False) -> Column:
+    n = _clean(c, clean)
     return F.when(n == "", 0).otherwise(F.size(F.split(n, " ")))
 
 
-def char_count(c: Column) -> Column:
-    return F.length(normalized(c))
+def char_count(c: Column, clean: bool = False) -> Column:
+    return F.length(_clean(c, clean))
 
 
 def reading_length(c: Column) -> Column:
@@ -54,8 +60,8 @@ def reading_length(c: Column) -> Column:
     return F.length(F.regexp_replace(F.coalesce(c, F.lit("")), f"[{lx.SPACES}]+", ""))
 
 
-def is_blank(c: Column) -> Column:
-    return normalized(c) == ""
+def is_blank(c: Column, clean: bool = False) -> Column:
+    return _clean(c, clean) == ""
 
 
 def has_target_script(c: Column, script: str = lx.TARGET_SCRIPT) -> Column:
@@ -66,30 +72,30 @@ def has_latin(c: Column) -> Column:
     return F.coalesce(c, F.lit("")).rlike(lx.LATIN)
 
 
-def ends_sentence(c: Column) -> Column:
-    return normalized(c).rlike(lx.SENTENCE_END)
+def ends_sentence(c: Column, clean: bool = False) -> Column:
+    return _clean(c, clean).rlike(lx.SENTENCE_END)
 
 
-def is_terminal(c: Column) -> Column:
+def is_terminal(c: Column, spaced: bool = False) -> Column:
     """``ends_sentence`` of target text."""
-    return target_spacing(c).rlike(lx.SENTENCE_END)
+    return (c if spaced else target_spacing(c)).rlike(lx.SENTENCE_END)
 
 
-def is_header(c: Column) -> Column:
-    n = normalized(c)
+def is_header(c: Column, clean: bool = False) -> Column:
+    n = _clean(c, clean)
     return n.rlike(lx.HEADER) | ((F.length(n) > 40) & (n == F.upper(n)))
 
 
-def is_cue(c: Column) -> Column:
-    return normalized(c).endswith(":")
+def is_cue(c: Column, clean: bool = False) -> Column:
+    return _clean(c, clean).endswith(":")
 
 
-def is_bracketed(c: Column) -> Column:
-    return normalized(c).rlike(lx.BRACKETED)
+def is_bracketed(c: Column, clean: bool = False) -> Column:
+    return _clean(c, clean).rlike(lx.BRACKETED)
 
 
-def is_url(c: Column) -> Column:
-    return normalized(c).rlike(lx.URL)
+def is_url(c: Column, clean: bool = False) -> Column:
+    return _clean(c, clean).rlike(lx.URL)
 
 
 def _capitals(n: Column, least: int) -> Column:
@@ -97,28 +103,29 @@ def _capitals(n: Column, least: int) -> Column:
     return (F.length(letters) >= least) & (letters == F.upper(letters))
 
 
-def is_meta(c: Column) -> Column:
-    n = normalized(c)
-    return is_bracketed(c) | is_url(c) | n.rlike(lx.CREDIT) | (_capitals(n, 4) & (word_count(c) <= 4))
+def is_meta(c: Column, clean: bool = False) -> Column:
+    n = _clean(c, clean)
+    return is_bracketed(n, True) | is_url(n, True) | n.rlike(lx.CREDIT) | (_capitals(n, 4) & (word_count(n, True) <= 4))
 
 
-def is_date(c: Column) -> Column:
-    n = normalized(c)
+def is_date(c: Column, clean: bool = False) -> Column:
+    n = _clean(c, clean)
     return n.rlike(f"(?i)({lx.MONTHS})(?![A-Za-z0-9_])") | n.rlike("(?<![A-Za-z0-9_])[0-9]{4}(?![A-Za-z0-9_])")
 
 
-def is_title(c: Column) -> Column:
-    n = normalized(c)
+def is_title(c: Column, clean: bool = False) -> Column:
+    n = _clean(c, clean)
     return n.rlike(lx.TITLE) | _capitals(n, 8)
 
 
-def row_type(c: Column) -> Column:
+def row_type(c: Column, clean: bool = False) -> Column:
     """source, date, title or normal: the first that fits."""
-    return F.when(is_meta(c), "source").when(is_date(c), "date").when(is_title(c), "title").otherwise("normal")
+    n = _clean(c, clean)
+    return F.when(is_meta(n, True), "source").when(is_date(n, True), "date").when(is_title(n, True), "title").otherwise("normal")
 
 
-def ends_with_comma(c: Column) -> Column:
-    return target_spacing(c).rlike(lx.COMMA_END)
+def ends_with_comma(c: Column, spaced: bool = False) -> Column:
+    return (c if spaced else target_spacing(c)).rlike(lx.COMMA_END)
 
 
 def source_ends_with_comma(c: Column) -> Column:

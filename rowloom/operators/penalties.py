@@ -9,20 +9,19 @@ from rowloom.functions import lexicon as lx
 from rowloom.functions import text as tx
 
 
-def boundary(left: Column, right: Column, profile: str = "default") -> Column:
-    """How badly a sentence is broken between two lines; 0 if either is empty."""
-    a, b = tx.target_spacing(left), tx.target_spacing(right)
+def boundary(a: Column, b: Column, profile: str = "default") -> Column:
+    """How badly a sentence is broken between two lines in target spacing; 0 if either is empty."""
     words = F.split(a, " ")
     last, first = tx.comparable(F.element_at(words, -1)), tx.comparable(F.element_at(F.split(b, " "), 1))
     goes_on = first.isin(lx.CONTINUATIONS)
     n = F.size(words)
-    comma = F.when(~tx.ends_with_comma(left), 0.0).when(goes_on, 6.0).when(n <= 2, 4.0).otherwise(1.25)
+    comma = F.when(~tx.ends_with_comma(a, True), 0.0).when(goes_on, 6.0).when(n <= 2, 4.0).otherwise(1.25)
 
     def when(c: Column, points: float) -> Column:
         return F.when(c, points).otherwise(0.0)
 
     open_end = when(goes_on, 3.0) + when(first.isin(lx.RIGHT_FRAGMENTS), 5.0) + when(last.isin(lx.LEFT_FRAGMENTS), 4.0) + when(n <= 3, 3.0)
-    total = comma + F.when(tx.is_terminal(left), 0.0).otherwise(open_end)
+    total = comma + F.when(tx.is_terminal(a, True), 0.0).otherwise(open_end)
     return F.when((a == "") | (b == ""), 0.0).otherwise(total * lx.WEIGHTS.get(profile, lx.WEIGHTS["default"])["boundary"])
 
 

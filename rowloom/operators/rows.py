@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions import lexicon as lx
@@ -35,13 +35,13 @@ def rows_of_documents(docs: DataFrame, target_script: bool = False) -> DataFrame
 
 
 def row_kind(idx: Column, start: Column, source: Column, target: Column) -> Column:
-    """skip before the first subtitle row, then blank, locked, meta or subtitle."""
+    """skip before the first subtitle row, then blank, locked, meta or subtitle; of normalized texts."""
     return (
         F.when(idx < start, "skip")
-        .when(tx.is_blank(source) & tx.is_blank(target), "blank")
-        .when(tx.is_blank(target), "locked")
-        .when(tx.is_header(source) | tx.is_cue(source), "locked")
-        .when(tx.is_meta(source), "meta")
+        .when((source == "") & (target == ""), "blank")
+        .when(target == "", "locked")
+        .when(tx.is_header(source, True) | tx.is_cue(source, True), "locked")
+        .when(tx.is_meta(source, True), "meta")
         .otherwise("subtitle")
     )
 
@@ -51,13 +51,13 @@ def kinds(rows: DataFrame, doc: str = "doc_id", script: str = lx.TARGET_SCRIPT)
 
     A document's subtitles start at its first row with target script and a source, or at its first row if there is
     none."""
-    from pyspark.sql import Window
-
-    begins = tx.has_target_script(F.col("target_text"), script) & ~tx.is_blank(F.col("source_text"))
+    s, t = F.col("clean_source"), F.col("clean_target")
+    clean = rows.withColumns({"clean_source": tx.normalized(F.col("source_text")), "clean_target": tx.normalized(F.col("target_text"))})
+    begins = t.rlike(script) & (s != "")
     start = F.coalesce(F.min(F.when(begins, F.col("idx"))).over(Window.partitionBy(doc)), F.lit(0))
-    return rows.withColumn("start_idx", start).select(
+    return clean.withColumn("start_idx", start).select(
         *[F.col(c) for c in rows.columns],
-        tx.row_type(F.col("source_text")).alias("row_type"),
-        row_kind(F.col("idx"), F.col("start_idx"), F.col("source_text"), F.col("target_text")).alias("kind"),
-        tx.ends_sentence(F.col("source_text")).alias("ends"),
+        tx.row_type(s, True).alias("row_type"),
+        row_kind(F.col("idx"), F.col("start_idx"), s, t).alias("kind"),
+        tx.ends_sentence(s, True).alias("ends"),
     )

@@ -118,11 +118,11 @@ SELECT doc_id, idx, {sql.has('s', lx.SENTENCE_END)} AS ends, {sql.header('s')} A
   {sql.has('s', lx.URL)} AS url, {sql.meta('s')} AS meta, {sql.date('s')} AS date, {sql.title('s')} AS title, {sql.has(sql.t('text'), lx.COMMA_END)} AS comma
 FROM x""")
 def row_predicates(spark, sf_dir):
-    c = F.col("text")
-    return _predicate_rows(spark, sf_dir).select(
-        "doc_id", "idx", tx.ends_sentence(c).alias("ends"), tx.is_header(c).alias("header"), tx.is_cue(c).alias("cue"),
-        tx.is_bracketed(c).alias("bracketed"), tx.is_url(c).alias("url"), tx.is_meta(c).alias("meta"), tx.is_date(c).alias("date"),
-        tx.is_title(c).alias("title"), tx.ends_with_comma(c).alias("comma"),
+    c = F.col("clean")
+    return _predicate_rows(spark, sf_dir).withColumn("clean", tx.normalized(F.col("text"))).select(
+        "doc_id", "idx", tx.ends_sentence(c, True).alias("ends"), tx.is_header(c, True).alias("header"), tx.is_cue(c, True).alias("cue"),
+        tx.is_bracketed(c, True).alias("bracketed"), tx.is_url(c, True).alias("url"), tx.is_meta(c, True).alias("meta"), tx.is_date(c, True).alias("date"),
+        tx.is_title(c, True).alias("title"), tx.ends_with_comma(F.col("text")).alias("comma"),
     )
 
 
@@ -130,7 +130,8 @@ def row_predicates(spark, sf_dir):
   SELECT doc_id, idx, source_text AS text FROM doc_rows UNION ALL {PREDICATE_ROWS}))
 SELECT doc_id, idx, {sql.row_type('s')} AS row_type FROM x""")
 def row_types(spark, sf_dir):
-    return _predicate_rows(spark, sf_dir).select("doc_id", "idx", tx.row_type(F.col("text")).alias("row_type"))
+    clean = _predicate_rows(spark, sf_dir).withColumn("clean", tx.normalized(F.col("text")))
+    return clean.select("doc_id", "idx", tx.row_type(F.col("clean"), True).alias("row_type"))
 
 
 # groups
@@ -263,8 +264,9 @@ c AS (SELECT *, {sql.count('line')} AS words, length(line) AS chars FROM v)
 SELECT doc_id, idx, chars <= hard AS valid, CAST(words AS INTEGER) AS words, CAST(chars AS INTEGER) AS chars,
   CASE WHEN chars > hard THEN 'Line exceeds the learned hard limit (' || words || ' words, ' || chars || ' chars, max ' || hard || ')' END AS reason FROM c""")
 def line_verdicts(spark, sf_dir):
-    line = F.concat(tx.normalized(S()), F.lit(" "), tx.target_spacing(T()))
-    return _resolved(spark, sf_dir).select("doc_id", "idx", lm.verdict(line, F.col("hard_char_max")).alias("v")).select("doc_id", "idx", "v.*")
+    line = tx.target_spacing(F.concat(tx.normalized(S()), F.lit(" "), tx.target_spacing(T())))
+    lines = _resolved(spark, sf_dir).withColumn("line", line)
+    return lines.select("doc_id", "idx", lm.verdict(F.col("line"), F.col("hard_char_max")).alias("v")).select("doc_id", "idx", "v.*")
 
 
 # what a rewrite might say: nothing, the same, or too much
@@ -281,7 +283,8 @@ checked AS (SELECT doc_id, row_number, CASE WHEN nt = t THEN NULL
 def _checked(spark, sf_dir) -> DataFrame:
     n = F.col("row_number") % 4
     new = F.when(n == 0, "").when(n == 1, T()).otherwise(F.concat(T(), F.lit(" "), S()))
-    return _resolved(spark, sf_dir).select("doc_id", "row_number", lm.rewrite_reason(S(), T(), new, F.col("hard_char_max")).alias("reason"))
+    spaced = _resolved(spark, sf_dir).withColumns({"s": tx.normalized(S()), "t": tx.target_spacing(T()), "new": tx.target_spacing(new)})
+    return spaced.select("doc_id", "row_number", lm.rewrite_reason(F.col("s"), F.col("t"), F.col("new"), F.col("hard_char_max")).alias("reason"))
 
 
 @query(f"{CHECKED} SELECT doc_id, row_number, reason IS NULL AS valid, reason FROM checked")
@@ -323,9 +326,10 @@ LEXICAL = f"([{', '.join(sql.q(w) for w in lx.RIGHT_FRAGMENTS)}][idx % {len(lx.R
   FROM (SELECT *, {sql.t(LEXICAL)} AS b FROM doc_rows))
 SELECT doc_id, idx, round({boundary_sql('a', 'b', 1.0)}, 6) AS penalty, round({boundary_sql('a', 'b', 1.35)}, 6) AS nwn_penalty FROM p WHERE b IS NOT NULL""")
 def boundary_penalty(spark, sf_dir):
-    after = F.lead(_lexical(T())).over(gr.by_document())
-    pairs = rows(spark, sf_dir, True).withColumn("after", after).where("after is not null")
-    return pairs.select("doc_id", "idx", *[F.round(pen.boundary(T(), F.col("after"), p), 6).alias(n) for p, n in (("default", "penalty"), ("nwn", "nwn_penalty"))])
+    after = F.lead("opening").over(gr.by_document())
+    spaced = rows(spark, sf_dir, True).select("doc_id", "idx", tx.target_spacing(T()).alias("line"), tx.target_spacing(_lexical(T())).alias("opening"))
+    pairs = spaced.withColumn("after", after).where("after is not null")
+    return pairs.select("doc_id", "idx", *[F.round(pen.boundary(F.col("line"), F.col("after"), p), 6).alias(n) for p, n in (("default", "penalty"), ("nwn", "nwn_penalty"))])
 
 
 MEAN = "avg(CASE WHEN l > 0 THEN l END) OVER (PARTITION BY doc_id, group_id)"
@@ -355,9 +359,9 @@ SELECT doc_id, idx, round({_over('preferred_char_min - chars', 0.35)} + {_over('
   + {_over('words - preferred_word_max', 0.9)} + {_over('chars - soft_char_max', 1.25)}, 6) AS penalty FROM c""")
 def learned_penalty(spark, sf_dir):
     r = _resolved(spark, sf_dir).where("kind = 'subtitle'")
-    line = tx.target_spacing(T())
-    points = pen.learned(F.length(line), tx.word_count(line), {n: F.col(n) for n in NAMES})
-    return r.select("doc_id", "idx", F.round(points, 6).alias("penalty"))
+    line = F.col("line")
+    points = pen.learned(F.length(line), tx.word_count(line, True), {n: F.col(n) for n in NAMES})
+    return r.withColumn("line", tx.target_spacing(T())).select("doc_id", "idx", F.round(points, 6).alias("penalty"))
 
 
 RATES = ", ".join(f"count_if(least(run_length, 4) = {i}) / count(*) AS rate_{i}" for i in range(1, 5))
@@ -664,4 +668,6 @@ def rewritten_rows(spark, sf_dir):
     g = grouped(spark, sf_dir, True)
     flat = ap.flattened(g, ap.plan_groups(g, pl.Options()))
     hard = F.lit(lx.LIMITS["hard_char_max"])
-    return flat.select("doc_id", "row_number", "kind", "new_text", lm.rewrite_reason(S(), T(), F.col("new_text"), hard).alias("reason"))
+    reason = lm.rewrite_reason(F.col("s"), F.col("t"), F.col("new_text"), hard)
+    clean = flat.withColumns({"s": tx.normalized(S()), "t": tx.target_spacing(T())})
+    return clean.select("doc_id", "row_number", "kind", "new_text", reason.alias("reason"))
