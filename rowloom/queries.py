@@ -482,7 +482,7 @@ SCORES = """SELECT l_orderkey AS group_id, CAST(l_linenumber AS INTEGER) AS ordi
 @query(f"""WITH s AS ({SCORES}),
 d AS (SELECT *, min(ordinal) OVER (PARTITION BY group_id, signature) AS place,
   row_number() OVER (PARTITION BY group_id, signature ORDER BY style, blocks, triples, -repeated, changed, ordinal) AS best FROM s),
-k AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY style, blocks, triples, -repeated, changed, place) AS rank FROM d WHERE best = 1)
+k AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY style, blocks, triples, -repeated, changed, place, signature) AS rank FROM d WHERE best = 1)
 SELECT group_id, CAST(rank AS INTEGER) AS rank, ordinal, signature, style FROM k WHERE rank <= 3""")
 def topk_plans(spark, sf_dir):
     s = table(spark, sf_dir, "lineitem").selectExpr(
@@ -581,7 +581,7 @@ def category_route(spark, sf_dir):
 
 
 @query("""SELECT event_id, regexp_matches(m, 'RESOURCE_EXHAUSTED|429') AS is_quota, CASE WHEN regexp_matches(m, '(?i)PerMinute') THEN 'minute' WHEN regexp_matches(m, '(?i)PerDay') THEN 'day' END AS quota_type,
-  CAST(ceil(TRY_CAST(regexp_extract(m, '(?i)retry in ([0-9.]+)s', 1) AS DOUBLE) * 1000) AS INTEGER) AS retry_ms
+  coalesce(CAST(ceil(TRY_CAST(regexp_extract(m, '(?i)retry in ([0-9.]+)s', 1) AS DOUBLE) * 1000) AS INTEGER), -1) AS retry_ms
 FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '429 PerMinute: Retry in ' || (event_id % 90) || '.25s' WHEN 1 THEN 'RESOURCE_EXHAUSTED perday' WHEN 2 THEN event_type ELSE 'retry in s' END AS m FROM events)""")
 def quota_messages(spark, sf_dir):
     n = F.col("event_id") % 4
@@ -591,7 +591,7 @@ def quota_messages(spark, sf_dir):
         .when(n == 2, F.col("event_type"))
         .otherwise("retry in s")
     )
-    return table(spark, sf_dir, "events").select("event_id", tx.quota(said).alias("q")).select("event_id", "q.*")
+    return table(spark, sf_dir, "events").select("event_id", tx.quota(said).alias("q")).select("event_id", "q.is_quota", "q.quota_type", F.coalesce("q.retry_ms", F.lit(-1)).alias("retry_ms"))
 
 
 @query(f"""WITH h AS (SELECT item_id, concat_ws(' ', text, CASE WHEN item_id % 2 = 0 THEN 'کلمب کریستف در پی' END, CASE WHEN item_id % 3 = 0 THEN 'به دلیل در پی' END) AS x FROM benchmark)
