@@ -153,33 +153,56 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+class Codes(dict):
+    """Words to strings of ``digits`` characters, blanks for words that no phrase has.
+
+    A node of an automaton looks its successors up one by one, so letters are few: a word is a number in base 64, and
+    each digit's place has letters of its own, so that phrases match at whole words only."""
+
+    def __init__(self, vocabulary: list[bytes]):
+        self.digits = 1
+        while 64**self.digits < len(vocabulary):
+            self.digits += 1
+        self.blank = "\0" * self.digits
+        super().__init__(
+            (w, "".join(chr(1 + 64 * d + (i >> 6 * d) % 64) for d in range(self.digits))) for i, w in enumerate(vocabulary)
+        )
+
+    def __missing__(self, word: bytes) -> str:
+        return self.blank
+
+    def of(self, words: list[bytes]) -> str:
+        return "".join(map(self.__getitem__, words))
+
+
 def _compile(words: list[list[bytes]], lined: list[Words], spans, recurring: np.ndarray, shingle: int):
-    """An automaton of the shard's recurring phrases, as sequences of word numbers, and the numbers of their words."""
-    number: dict[bytes, int] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    done = set()
+    """An automaton of the shard's recurring phrases, and the codes of their words."""
+    phrases: dict[int, list[bytes]] = {}
     for (a, _), w in zip(spans, lined, strict=True):
         at = np.flatnonzero(w.chosen())
         at = at[np.isin(w.shingles[at].view(np.int64), recurring)]
-        for p, h in zip(at.tolist(), w.shingles[at].tolist(), strict=True):
-            if h not in done:
-                done.add(h)
+        found, first = np.unique(w.shingles[at], return_index=True)
+        for h, p in zip(found.tolist(), at[first].tolist(), strict=True):
+            if h not in phrases:
                 text, place = words[a + int(w.doc[p])], int(w.place[p])
-                automaton.add_word(
-                    tuple(number.setdefault(x, len(number) + 1) for x in text[place : place + shingle]), 1
-                )
-    if done:
+                phrases[h] = text[place : place + shingle]
+    codes = Codes(list(dict.fromkeys(x for p in phrases.values() for x in p)))
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for p in phrases.values():
+        automaton.add_word(codes.of(p))
+    if phrases:
         automaton.make_automaton()
-    return automaton if done else None, number
+    return automaton if phrases else None, codes
 
 
-def _locate(words: list[list[bytes]], w: Words, automaton, number: dict[bytes, int], window: int, shingle: int) -> np.ndarray:
+def _locate(words: list[list[bytes]], w: Words, automaton, codes: Codes, window: int, shingle: int) -> np.ndarray:
     """Window starts around a located phrase that is the window's anchor."""
     hit = np.zeros(len(w.hashes), bool)
     for start, text in zip(w.starts.tolist(), words, strict=True):
         if len(text) >= window:
-            places = [end for end, _ in automaton.iter(tuple(number.get(x, 0) for x in text))]
-            hit[np.array(places, np.int64) + (start - shingle + 1)] = True
+            ends = [end for end, _ in automaton.iter(codes.of(text))]
+            if ends:
+                hit[np.array(ends, np.int64) // codes.digits + (start - shingle + 1)] = True
     found = np.where(hit, w.shingles, _TOP)
     low = _sliding(found, w.inside, np.minimum, lambda a, s: _ahead(a, s, int(_TOP)))
     return w.is_start & (low == w.anchor)
@@ -199,12 +222,12 @@ def _passages(window: int, shingle: int):
         texts = docs.column("text").to_numpy()
         spans = list(_chunks(words))
         lined = [Words(words[a:b], window, shingle) for a, b in spans]
-        automaton, number = _compile(words, lined, spans, anchors.column("anchor").to_numpy(), shingle)
+        automaton, codes = _compile(words, lined, spans, anchors.column("anchor").to_numpy(), shingle)
         out, seen = [], {}
         for (a, b), w in zip(spans, lined, strict=True):
             if automaton is None:
                 break
-            at = np.flatnonzero(_locate(words[a:b], w, automaton, number, window, shingle))
+            at = np.flatnonzero(_locate(words[a:b], w, automaton, codes, window, shingle))
             if not len(at):
                 continue
             content = _chained(w.hashes, window)
@@ -212,16 +235,17 @@ def _passages(window: int, shingle: int):
                 [[True], (np.diff(at) != 1) | (w.anchor[at[1:]] != w.anchor[at[:-1]]) | (w.doc[at[1:]] != w.doc[at[:-1]])]
             )
             begins = np.flatnonzero(cut_here)
-            for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(at)], strict=True):
-                p = int(at[i])
-                row = a + int(w.doc[p])
-                hashes, doc, text = content[p : p + j - i].tobytes(), int(order[row]), int(texts[row])
-                place, anchor = int(w.place[p]), int(w.anchor[p : p + 1].view(np.int64)[0])
+            begin = at[begins]
+            row = w.doc[begin] + a
+            sizes = np.diff(np.concatenate([begins, [len(at)]]))
+            runs = (begin, sizes, order[row], texts[row], w.place[begin], w.anchor[begin].view(np.int64))
+            for p, n, doc, text, place, anchor in zip(*(x.tolist() for x in runs), strict=True):
+                hashes = content[p : p + n].tobytes()
                 first = seen.setdefault((anchor, hashes), (doc, place))
                 if first == (doc, place):
-                    out.append((anchor, doc, text, place, j - i, hashes))
+                    out.append((anchor, doc, text, place, n, hashes))
                 else:  # settled here; a key of its own spreads such runs
-                    out.append((hash((doc, place)) & 0x7FFFFFFFFFFFFFFF, doc, text, place, j - i, None))
+                    out.append((hash((doc, place)) & 0x7FFFFFFFFFFFFFFF, doc, text, place, n, None))
         if not out:
             return schema.empty_table()
         anchor, doc, text, place, n, hashes = zip(*out, strict=True)
