@@ -17,6 +17,8 @@ MAX_EPOCHS = 2
 BLOCK = 64
 SLOTS_PER_SHARD = 4096
 ROUNDS = 10
+#: Slots that a task makes, on average.
+SLOTS_PER_TASK = 100_000
 SEED = 20
 
 
@@ -99,7 +101,9 @@ def _slots(targets: DataFrame, block: int, slots_per_shard: int, seed: int) -> D
         "slot_from",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("quota") - 1) / run))).alias("run"),
     )
-    slots = runs.repartition("source_rank", "run").select(
+    # by number, since adaptive execution would put these few rows in one task
+    tasks = max(1, total // SLOTS_PER_TASK)
+    slots = runs.repartition(tasks, "source_rank", "run").select(
         "source_rank",
         "blocks",
         "slot_from",
@@ -180,7 +184,8 @@ def mix(
         F.explode(F.sequence(F.floor(start / block), F.floor((start + F.col("size") - 1) / block))).alias("block"),
     )
     taken = (
-        in_blocks.join(reads, ["source_rank", "block"])
+        # unnested slots have no size that the optimizer could know: without the hint it would broadcast them
+        in_blocks.join(reads.hint("merge"), ["source_rank", "block"])
         .groupBy("rank")
         .agg(
             F.sum(
