@@ -18,7 +18,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Rows up to which a table of fixed-width rows (some tens of bytes each) may be broadcast; every broadcast in
 #: this package either has a bound by construction or is counted against this number first.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
