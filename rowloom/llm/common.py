@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,9 +17,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Rows up to which a table of fixed-width rows (some tens of bytes each) may be broadcast; every broadcast in
-#: this package either has a bound by construction or is counted against this number first.
+#: Rows and bytes up to which a table may be broadcast; every broadcast in this package either has a bound by
+#: construction or is counted against these numbers first.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64_000_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -26,8 +28,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def col(name: str) -> Column:
+    """The column of that very name, which may have dots."""
+    return F.col(f"`{name}`")
+
+
 def text_or_empty(text: str) -> Column:
-    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return F.coalesce(col(text).cast("string"), F.lit(""))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -68,7 +75,7 @@ def shared_dir(spark: SparkSession) -> str:
     one machine would lose files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="rowloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
@@ -78,20 +85,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and what several later jobs
-    read is computed once, to one and the same result. The folder goes when the driver's JVM ends."""
+    read is computed once, to one and the same result. The folder goes when the driver's JVM ends, or with
+    ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rowloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(conf).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    back = spark.read.schema(df.schema).parquet(path)
+    back._cut_path = path
+    return back
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` returned and that nothing reads any more."""
+    spark = df.sparkSession
+    _file_system(spark, df._cut_path).delete(spark._jvm.org.apache.hadoop.fs.Path(df._cut_path), True)
+
+
+def small(df: DataFrame, rows: int | None = None, size: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows and ``size`` bytes (as JSON, which
+    is longer than Spark's own form of numbers and strings), else as it is, for a shuffled join that adaptive
+    execution may split where keys are skewed. Call it on the result of ``cut``."""
+    rows, size = BROADCAST_ROWS if rows is None else rows, BROADCAST_BYTES if size is None else size
+    lengths = df.select(F.octet_length(F.to_json(F.struct(*df.columns))).alias("n")).limit(rows + 1)
+    n, total = lengths.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows, else as it is, for a shuffled
-    join that adaptive execution may split where keys are skewed. Call it on the result of ``cut``."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def barrier(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with ``value`` as a column ``name`` that the optimizer takes as it stands: filters on it aren't rewritten
+    as filters on ``value``, which would evaluate a costly expression again."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
 def running_sums(values: Column, block: int = 128) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowloom.llm.common import cut, fresh, small, text_key
+from rowloom.llm.common import col, cut, fresh, small, text_key, text_or_empty
 from rowloom.llm.graph import components
 
 SHINGLE = 3
@@ -19,6 +19,8 @@ SEED = 42
 DISTANCE = 2
 BITS = 64
 SEGMENTS = 2
+#: Fingerprints that an entry of a segment table may have, for its members to be compared one by one.
+DENSE = 64
 #: Shingle hashes whose bits are unpacked at a time: 64 bytes each.
 CHUNK = 1 << 16
 
@@ -65,35 +67,78 @@ def add_fingerprint(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def ball(fingerprint: Column, segment: int) -> Column:
-    """All values that differ from ``fingerprint`` in at most DISTANCE / SEGMENTS = 1 bit, that bit in ``segment``."""
+def flipped(value: Column, bits: range) -> list[Column]:
+    """``value`` with one bit changed, for each of ``bits``."""
+    return [value.bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in bits]
+
+
+def segment(fingerprint: Column, number: int) -> Column:
+    """The fingerprint with all bits but those of a segment cleared."""
     width = BITS // SEGMENTS
-    bits = range(segment * width, (segment + 1) * width)
-    flips = [fingerprint] + [fingerprint.bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in bits]
-    return F.array(*flips)
+    mask = ((1 << width) - 1) << (number * width)
+    return fingerprint.bitwiseAND(F.lit(mask - (1 << BITS) if mask >> 63 else mask))
+
+
+def _segments(prints: DataFrame, around: bool) -> DataFrame:
+    """(u, segment, value): each fingerprint's segments, or also the values one bit from them."""
+    width = BITS // SEGMENTS
+
+    def of(s: int) -> Column:
+        own = segment(F.col("u"), s)
+        values = [own, *flipped(own, range(s * width, (s + 1) * width))] if around else [own]
+        return F.array(*[F.struct(F.lit(s).alias("segment"), v.alias("value")) for v in values])
+
+    table = prints.select("u", F.explode(F.flatten(F.array(*[of(s) for s in range(SEGMENTS)]))).alias("x"))
+    return table.select("u", "x.segment", "x.value")
 
 
-def links(prints: DataFrame, name: str = "fp") -> DataFrame:
+def _met(prints: DataFrame) -> DataFrame:
+    """(u, v) of fingerprints that meet in the values at most one bit from each: all at distance 2 or less do, and a
+    value has no more than the 65 around it. Each links to the one before it."""
+    table = prints.select("u", F.explode(F.array("u", *flipped(F.col("u"), range(BITS)))).alias("value"))
+    return table.select("u", F.lag("u").over(Window.partitionBy("value").orderBy("u")).alias("v")).where("v is not null")
+
+
+def links(prints: DataFrame, name: str = "fp", dense: int = DENSE) -> DataFrame:
     """(u, v): links that connect every two of the distinct fingerprints in ``prints`` at distance 2 or less.
 
-    Multi-index hashing, probing from both sides: two values at distance 2 meet at a value one bit from each, and the
-    flipped bit lies in one of the segments. So each fingerprint enters the table under the radius-1 ball of each
-    segment, 65 entries; whatever meets under an entry is at distance 2 or less, and no entry can hold more than the
-    65 values around it, however many near copies there are. Entries link to the one before them in order, which
-    joins all that meet there; complete distances are verified."""
-    first = F.array(*[F.col(name)])
-    table = prints.select(
-        name, F.explode(F.array_distinct(F.flatten(F.array(first, *[ball(F.col(name), s) for s in range(SEGMENTS)])))).alias("entry")
-    )
-    before = F.lag(name).over(Window.partitionBy("entry").orderBy(name))
-    found = table.select(F.col(name).alias("u"), before.alias("v")).where("v is not null")
-    return found.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE).distinct()
+    Multi-index hashing: every fingerprint is entered in a table by each of its SEGMENTS segments. Of two at distance 2,
+    one segment differs in one bit at most, so probing each segment's Hamming ball of radius 1 finds one in an entry
+    of the other; complete distances of the matches are verified.
+
+    An entry with more than ``dense`` fingerprints would compare them all with one another. Dense entries aren't
+    probed. All fingerprints that have a segment in a dense entry, or one bit from it, instead look for each other by
+    whole values: each is entered under the 65 values around it, and what meets there is verified. Both ways lose
+    nothing, and none compares more than ``dense`` times 33 values with one."""
+    own = prints.select(F.col(name).alias("u"))
+    table = cut(_segments(own, False), "segments")
+    crowded = cut(table.groupBy("segment", "value").count().where(F.col("count") > dense).select("segment", "value"), "dense")
+    near = F.col("u").bitwiseXOR(F.col("v"))
+    apart = F.bit_count(near) <= DISTANCE
+    entries = table.select(F.col("u").alias("v"), "segment", "value")
+    if crowded.isEmpty():
+        return _segments(own, True).join(entries, ["segment", "value"]).where((F.col("u") > F.col("v")) & apart).select("u", "v").distinct()
+    crowded = small(crowded)
+    entries = entries.join(crowded, ["segment", "value"], "left_anti")
+    # A fingerprint in a dense entry isn't sent to probe around it either: what it could find there is near a dense
+    # entry itself, and meets it by whole values.
+    probing = table.join(crowded, ["segment", "value"], "left_anti").select("u", "segment")
+    width = BITS // SEGMENTS
+    around = [
+        F.array(segment(F.col("u"), s), *flipped(segment(F.col("u"), s), range(s * width, (s + 1) * width))) for s in range(SEGMENTS)
+    ]
+    balls = F.element_at(F.array(*around), F.col("segment") + 1)
+    probes = probing.select("u", "segment", F.explode(balls).alias("value"))
+    found = probes.join(entries, ["segment", "value"]).where((F.col("u") > F.col("v")) & apart).select("u", "v")
+    beside = _segments(own, True).join(crowded, ["segment", "value"], "left_semi").select("u").distinct()
+    met = _met(beside).where(apart)
+    return found.unionByName(met).distinct()
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, fp, root, component_id) for each row."""
-    body = F.col(text_col).cast("string")
-    light = docs.select(F.col(id_col).alias("id"), text_key(F.coalesce(body, F.lit(""))).alias("key"), body.alias("body"))
+    body = text_or_empty(text_col)
+    light = docs.select(col(id_col).alias("id"), text_key(body).alias("key"), body.alias("body"))
     rows = cut(add_fingerprint(light, "body", "fp"), "fingerprints")
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
     roots = components(links(distinct.select("fp"))).toDF("node", "other_root")
@@ -103,8 +148,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         ),
         "roots",
     )
-    lowest = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_print = cut(labelled.join(lowest, "root").select("print", "root", "component_id"), "components")
+    # written first, so that the join on the root is a plain one, which adaptive execution can split
+    lowest = cut(labelled.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
+    by_print = cut(labelled.join(small(lowest), "root").select("print", "root", "component_id"), "components")
     return rows.join(small(by_print), F.col("fp") == F.col("print")).drop("print")
 
 
@@ -125,30 +171,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One document of each group, with all columns of ``docs``: the one with the smallest id.
 
     Where that id has several texts in the group, the one with the smallest key stays; of repeated rows, any one. A
-    row without an id stays only where its whole group has none."""
-    rows = cut(_grouped(docs, id_col, text_col).groupBy("root", "component_id", "id", "key").agg(F.count("*").alias("n")), "grouped")
-    best = (
-        rows.where(F.col("id").eqNullSafe(F.col("component_id")))
-        .groupBy("root")
-        .agg(F.min(F.struct("key", "n")).alias("best"))
-        .select(F.col("root").alias("best_root"), F.col("best.key").alias("best_key"), F.col("best.n").alias("best_n"))
-    )
-    judged = cut(
-        rows.join(best, F.col("root") == F.col("best_root")).select(
-            F.col("id").alias("out_id"),
-            F.col("key").alias("out_key"),
-            (F.col("id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("best_key"))).alias("stays"),
-            "n",
-        ),
-        "judged",
+    row without an id stays only where its whole group has none. Names of columns may be any but with a backtick."""
+    gone_id, gone_key = fresh(docs, "simhash_gone_id"), fresh(docs, "simhash_gone_key")
+    rows = cut(_grouped(docs, id_col, text_col).select("root", "id", "key", F.col("id").eqNullSafe(F.col("component_id")).alias("low")), "grouped")
+    # rows of a component's smallest id: one, but where ids repeat
+    lows = rows.where("low").groupBy("root", "id", "key").agg(F.count("*").alias("n"))
+    best = cut(lows.groupBy("root").agg(F.min(F.struct("key", "id", "n")).alias("best")).select("root", "best.*"), "best")
+    gone_lows = lows.join(small(best.select(F.col("root").alias("best_root"), F.col("key").alias("best_key"))), F.col("root") == F.col("best_root"))
+    goes = rows.where("not low").select("id", "key").unionByName(
+        gone_lows.where((F.col("key") != F.col("best_key")) | (F.col("n") > 1)).select("id", "key")
     )
+    goes = cut(goes.distinct(), "goes").toDF(gone_id, gone_key)
     key = fresh(docs, "simhash_key")
-    wide = docs.withColumn(key, text_key(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
-    same = F.col(id_col).eqNullSafe(F.col("out_id")) & (F.col(key) == F.col("out_key"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    goes = cut(judged.where("not stays or n > 1").select("out_id", "out_key"), "goes")
+    wide = docs.withColumn(key, text_key(text_or_empty(text_col)))
+    same = col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key))
+    columns = [col(c) for c in docs.columns]
     out = wide.join(small(goes), same, "left_anti").select(*columns)
-    repeated = cut(judged.where("stays and n > 1").select("out_id", "out_key"), "repeated")
+    repeated = cut(best.where("n > 1").select("id", "key"), "repeated").toDF(gone_id, gone_key)
     if repeated.isEmpty():
         return out
     one = wide.join(small(repeated), same, "left_semi").dropDuplicates([id_col, key]).select(*columns)

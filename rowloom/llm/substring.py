@@ -1,21 +1,33 @@
-"""Substring dedup: repeated passages found by phrase automata."""
+"""Substring dedup: recurring passages found by sharded phrase automata."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type as _arrow
+
+from rowloom.llm.common import col, cut
+from rowloom.llm.prefix import with_prefix
 
 WINDOW = 20
 SHINGLE = 5
-#: Bytes of text that one shard, the unit that an automaton is compiled for, holds on average.
+#: Bytes of text that one shard of documents holds on average.
 SHARD_BYTES = 4_000_000
+#: Bytes of text for which there is an automaton. Were all of it recurring, an automaton would be streamed some ten
+#: thousand stretches of 27 words.
+DEAL_BYTES = 600_000
+#: Places of one phrase that are streamed through one automaton.
+DEAL_ROWS = 4_000
 #: Words that are hashed at a time.
 CHUNK_WORDS = 200_000
 
@@ -82,8 +94,7 @@ class Words:
         self.lengths = np.array([len(t) for t in texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
         n = int(self.lengths.sum())
-        digest = xxhash.xxh64_intdigest
-        self.hashes = np.fromiter((digest(w) for t in texts for w in t), np.uint64, n)
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(texts)), np.uint64, n)
         doc = np.repeat(np.arange(len(texts)), self.lengths)
         self.doc, self.place = doc, np.arange(n) - self.starts[doc] if n else np.zeros(0, np.int64)
         left = self.lengths[doc] - self.place if n else np.zeros(0, np.int64)
@@ -111,46 +122,107 @@ def _chunks(words: list[list[bytes]], most: int = CHUNK_WORDS) -> Iterator[tuple
         yield at, len(words)
 
 
-def _split(column) -> list[list[bytes]]:
-    return [(t.as_py() or b"").split() for t in column.cast(pa.large_binary())]
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, as they are moved twice."""
+    pack = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
+    for batch in batches:
+        body = [pack(t.as_py() or b"") for t in batch.column("body").cast(pa.large_binary())]
+        at = batch.schema.get_field_index("body")
+        columns = [pa.array(body, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)]
+        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+
+def _unpacked(column) -> list[list[bytes]]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(t).split() for t in column.to_pylist()]
 
 
-def _anchors(window: int, shingle: int):
+def _phrases(window: int, shingle: int):
+    """(phrase, shard, n): the phrases that each shard's texts are to be looked up by, as hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, shards = _split(batch.column("body")), batch.column("shard").to_numpy(zero_copy_only=False)
+            words = [(t.as_py() or b"").split() for t in batch.column("body").cast(pa.large_binary())]
+            shards = batch.column("shard").to_numpy(zero_copy_only=False)
             for a, b in _chunks(words):
                 w = Words(words[a:b], window, shingle)
                 at = np.flatnonzero(w.chosen())
-                pairs = np.empty(len(at), [("anchor", np.int64), ("shard", np.int32)])
-                pairs["anchor"], pairs["shard"] = w.shingles[at].view(np.int64), shards[a:b][w.doc[at]]
+                pairs = np.empty(len(at), [("phrase", np.int64), ("shard", np.int32)])
+                pairs["phrase"], pairs["shard"] = w.shingles[at].view(np.int64), shards[a:b][w.doc[at]]
                 found, n = np.unique(pairs, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found["anchor"]), pa.array(found["shard"]), pa.array(np.minimum(n, 2).astype(np.int32))],
-                    names=["anchor", "shard", "n"],
+                    [pa.array(found["phrase"]), pa.array(found["shard"]), pa.array(n.astype(np.int64))],
+                    names=["phrase", "shard", "n"],
                 )
 
     return run
 
 
-def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of an anchor are in one partition: the (shard, anchor) of those that occur twice or more."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
-    if not parts:
-        return
-    anchor, shard, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(anchor, kind="stable")
-    anchor, shard, n = anchor[order], shard[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    total = np.add.reduceat(n.astype(np.int64), first)
-    often = np.repeat(total >= 2, np.diff(np.concatenate([first, [len(anchor)]])))
-    pairs = np.unique(np.rec.fromarrays([shard[often], anchor[often]], names="shard,anchor"))
-    for i in range(0, len(pairs), 1 << 16):
-        part = pairs[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ascontiguousarray(part["shard"])), pa.array(np.ascontiguousarray(part["anchor"]))],
-            names=["shard", "anchor"],
-        )
+_STRETCH = pa.schema(
+    [
+        ("deal", pa.int64()),
+        ("hot", pa.bool_()),
+        ("shard", pa.int32()),
+        ("ord", pa.int64()),
+        ("text", pa.int64()),
+        ("start", pa.int32()),
+        ("n", pa.int32()),
+        ("words", pa.binary()),
+    ]
+)
+
+
+def _stretches(window: int, shingle: int, deals: int):
+    """The stretches of a shard's documents around recurring phrases: successive windows with one phrase as anchor,
+    with their words. ``deal`` says which automaton they are streamed through: the phrase's own, or for a phrase with
+    very many rows one of several that share its work.
+
+    Of equal stretches in the shard only the first goes on: all windows of the others start earlier too, and they
+    come out without words."""
+
+    def run(key, docs: pa.Table, phrases: pa.Table) -> pa.Table:
+        if not docs.num_rows or not phrases.num_rows:
+            return _STRETCH.empty_table()
+        docs = docs.sort_by("ord")
+        words, order = _unpacked(docs.column("body")), docs.column("ord").to_numpy()
+        texts = docs.column("text").to_numpy()
+        known = phrases.column("phrase").to_numpy()
+        by_hash = np.argsort(known)
+        known, parts = known[by_hash], phrases.column("parts").to_numpy()[by_hash]
+        seen: dict[bytes, tuple[int, int]] = {}
+        out: list[tuple] = []
+        for a, b in _chunks(words):
+            w = Words(words[a:b], window, shingle)
+            anchor = w.anchor.view(np.int64)
+            place = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
+            at = np.flatnonzero(w.is_start & (known[place] == anchor))
+            if not len(at):
+                continue
+            begins = np.flatnonzero(
+                np.concatenate([[True], (np.diff(at) != 1) | (anchor[at[1:]] != anchor[at[:-1]]) | (w.doc[at[1:]] != w.doc[at[:-1]])])
+            )
+            begin = at[begins]
+            sizes = np.diff(np.concatenate([begins, [len(at)]]))
+            row, split = w.doc[begin] + a, parts[place[begin]]
+            spread = _scramble(order[row].astype(np.uint64) + np.uint64(1)) % split.astype(np.uint64)
+            own = _scramble(anchor[begin].view(np.uint64) + spread * _MIX)
+            # the top bit keeps deals of their own apart from the shared ones
+            deal = np.where(split > 1, (own | np.uint64(1 << 63)).view(np.int64), (own % np.uint64(deals)).view(np.int64))
+            runs = (row, w.place[begin], sizes, order[row], texts[row], deal, split > 1)
+            for r, p, n, doc, text, to, hot in zip(*(x.tolist() for x in runs), strict=True):
+                stretch = b" ".join(words[r][p : p + n + window - 1])
+                first = seen.setdefault(stretch, (doc, p))
+                if first == (doc, p):
+                    out.append((to, hot, doc, text, p, n, stretch))
+                else:
+                    out.append((p % deals, False, doc, text, p, n, None))
+        if not out:
+            return _STRETCH.empty_table()
+        to, hot, doc, text, place, n, stretch = zip(*out, strict=True)
+        shard = [key[0].as_py()] * len(out)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip((to, hot, shard, doc, text, place, n, stretch), _STRETCH, strict=True)], schema=_STRETCH)
+
+    return run
 
 
 class Codes(dict):
@@ -175,123 +247,115 @@ class Codes(dict):
         return "".join(map(self.__getitem__, words))
 
 
-def _compile(words: list[list[bytes]], lined: list[Words], spans, recurring: np.ndarray, shingle: int):
-    """An automaton of the shard's recurring phrases, and the codes of their words."""
-    phrases: dict[int, list[bytes]] = {}
-    for (a, _), w in zip(spans, lined, strict=True):
-        at = np.flatnonzero(w.chosen())
-        at = at[np.isin(w.shingles[at].view(np.int64), recurring)]
-        found, first = np.unique(w.shingles[at], return_index=True)
-        for h, p in zip(found.tolist(), at[first].tolist(), strict=True):
-            if h not in phrases:
-                text, place = words[a + int(w.doc[p])], int(w.place[p])
-                phrases[h] = text[place : place + shingle]
-    codes = Codes(list(dict.fromkeys(x for p in phrases.values() for x in p)))
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for p in phrases.values():
-        automaton.add_word(codes.of(p))
-    if phrases:
-        automaton.make_automaton()
-    return automaton if phrases else None, codes
-
-
-def _locate(words: list[list[bytes]], w: Words, automaton, codes: Codes, window: int, shingle: int) -> np.ndarray:
-    """Window starts around a located phrase that is the window's anchor."""
-    hit = np.zeros(len(w.hashes), bool)
-    for start, text in zip(w.starts.tolist(), words, strict=True):
-        if len(text) >= window:
-            ends = [end for end, _ in automaton.iter(codes.of(text))]
-            if ends:
-                hit[np.array(ends, np.int64) // codes.digits + (start - shingle + 1)] = True
-    found = np.where(hit, w.shingles, _TOP)
-    low = _sliding(found, w.inside, np.minimum, lambda a, s: _ahead(a, s, int(_TOP)))
-    return w.is_start & (low == w.anchor)
-
-
-def _passages(window: int, shingle: int):
-    """For a shard's documents and recurring anchors: its candidate windows, as runs of successive starts with one
-    anchor. A run is (anchor, shard, ord, text, start, the windows' hashes), or for a run that an earlier one in the shard
-    equals in all windows, one without hashes, which says that all of its windows start earlier too."""
-    schema = pa.schema([("anchor", pa.int64()), ("shard", pa.int32()), ("ord", pa.int64()), ("text", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary())])
-
-    def run(key, docs: pa.Table, anchors: pa.Table) -> pa.Table:
-        if not docs.num_rows or not anchors.num_rows:
-            return schema.empty_table()
-        docs = docs.sort_by("ord")
-        words, order = _split(docs.column("body").combine_chunks()), docs.column("ord").to_numpy()
-        texts = docs.column("text").to_numpy()
-        spans = list(_chunks(words))
-        lined = [Words(words[a:b], window, shingle) for a, b in spans]
-        automaton, codes = _compile(words, lined, spans, anchors.column("anchor").to_numpy(), shingle)
-        out, seen = [], {}
-        for (a, b), w in zip(spans, lined, strict=True):
-            if automaton is None:
-                break
-            at = np.flatnonzero(_locate(words[a:b], w, automaton, codes, window, shingle))
-            if not len(at):
-                continue
-            content = _chained(w.hashes, window)
-            cut_here = np.concatenate(
-                [[True], (np.diff(at) != 1) | (w.anchor[at[1:]] != w.anchor[at[:-1]]) | (w.doc[at[1:]] != w.doc[at[:-1]])]
-            )
-            begins = np.flatnonzero(cut_here)
-            begin = at[begins]
-            row = w.doc[begin] + a
-            sizes = np.diff(np.concatenate([begins, [len(at)]]))
-            runs = (begin, sizes, order[row], texts[row], w.place[begin], w.anchor[begin].view(np.int64))
-            for p, n, doc, text, place, anchor in zip(*(x.tolist() for x in runs), strict=True):
-                hashes = content[p : p + n].tobytes()
-                first = seen.setdefault((anchor, hashes), (doc, place))
-                if first == (doc, place):
-                    out.append((anchor, doc, text, place, n, hashes))
-                else:  # settled here; a key of its own spreads such runs
-                    out.append((hash((doc, place)) & 0x7FFFFFFFFFFFFFFF, doc, text, place, n, None))
-        if not out:
-            return schema.empty_table()
-        anchor, doc, text, place, n, hashes = zip(*out, strict=True)
-        shard = pa.array([key[0].as_py()] * len(out), pa.int32())
-        return pa.Table.from_arrays(
-            [pa.array(anchor, pa.int64()), shard, pa.array(doc, pa.int64()), pa.array(text, pa.int64()), pa.array(place, pa.int32()), pa.array(n, pa.int32()), pa.array(hashes, pa.binary())],
-            schema=schema,
-        )
-
-    return run
+def _recurring(codes: list[str], digits: int, hot: np.ndarray, window: int) -> list[str]:
+    """The passages to look for, as codes: the longest series of successive windows in the stretches that each occur
+    twice or more among them, or that must be looked for because their phrase's stretches are dealt to several
+    automata. Hashes nominate; the automaton then compares the words themselves."""
+    sizes = np.array([len(c) // digits for c in codes], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    letters = np.frombuffer("".join(codes).encode("utf-32-le"), np.uint32).reshape(-1, digits)
+    word = np.zeros(len(letters), np.uint64)
+    for d in range(digits):
+        word = _scramble(word + letters[:, d] + np.uint64(1))
+    of = np.repeat(np.arange(len(codes)), sizes)
+    starts = np.arange(len(word)) - begin[of] <= sizes[of] - window
+    content = _chained(word, window)
+    _, inverse, count = np.unique(content[starts], return_inverse=True, return_counts=True)
+    wanted = np.zeros(len(word), bool)
+    wanted[starts] = (count[inverse] > 1) | hot[of[starts]]
+    at = np.flatnonzero(wanted)
+    if not len(at):
+        return []
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (of[at[1:]] != of[at[:-1]])]))
+    first, n = at[new], np.diff(np.concatenate([new, [len(at)]]))
+    return list(
+        {
+            codes[i][p * digits : (p + m + window - 1) * digits]
+            for i, p, m in zip(of[first].tolist(), (first - begin[of[first]]).tolist(), n.tolist(), strict=True)
+        }
+    )
 
 
-def _earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All runs of an anchor are in one partition: (shard, ord, text, start, bits), a byte for each window that also starts
-    earlier."""
-    names = ["shard", "ord", "text", "start", "bits"]
-    runs = []
-    for b in batches:
-        whole = b.filter(b.column("hashes").is_null())
+def _located(codes: list[str], passages: list[str], digits: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, place, window) for every occurrence of a window of the passages in the stretches: an Aho-Corasick
+    automaton of the passages finds all places, and equal windows have equal numbers."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    number: dict[str, int] = {}
+    windows, lengths = [], np.empty(len(passages), np.int64)
+    for k, passage in enumerate(passages):
+        automaton.add_word(passage, k)
+        lengths[k] = n = len(passage) // digits - window + 1
+        for p in range(n):
+            windows.append(number.setdefault(passage[p * digits : (p + window) * digits], len(number)))
+    automaton.make_automaton()
+    numbers, offset = np.array(windows, np.int64), np.cumsum(lengths) - lengths
+    stretch, end, found = [], [], []
+    for i, text in enumerate(codes):
+        for e, k in automaton.iter(text):
+            stretch.append(i)
+            end.append(e)
+            found.append(k)
+    stretch, end, found = (np.array(x, np.int64) for x in (stretch, end, found))
+    n = lengths[found]
+    begin = (end + 1) // digits - (n + window - 1)
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(stretch, n), np.repeat(begin, n) + step, numbers[np.repeat(offset[found], n) + step]
+    _, once = np.unique(at[0] << np.int64(32) | at[1], return_index=True)  # passages may overlap
+    return at[0][once], at[1][once], at[2][once]
+
+
+_LATE = pa.schema(
+    [("shard", pa.int32()), ("ord", pa.int64()), ("text", pa.int64()), ("start", pa.int32()), ("late", pa.binary()), ("window", pa.binary())]
+)
+
+
+def _settle(window: int):
+    """Streams the stretches of a deal through the automaton of its recurring passages. Gives (shard, ord, text, start,
+    late): a byte for each successive window, 1 if it also starts earlier. Where a phrase is dealt to several
+    automata, the first of equal windows in each comes out as a row with the window's words instead."""
+
+    def run(key, table):
+        whole = table.filter(table.column("words").is_null())
+        parts = []
         if whole.num_rows:
-            bits = [b"\x01" * n for n in whole.column("n").to_pylist()]
-            yield pa.RecordBatch.from_arrays([whole.column("shard"), whole.column("ord"), whole.column("text"), whole.column("start"), pa.array(bits, pa.binary())], names=names)
-        rest = b.filter(b.column("hashes").is_valid())
-        if rest.num_rows:
-            runs.append(rest)
-    if not runs:
-        return
-    table = pa.Table.from_batches(runs).combine_chunks()
-    n = table.column("n").to_numpy().astype(np.int64)
-    content = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
-    run = np.repeat(np.arange(len(n)), n)
-    begin = np.cumsum(n) - n
-    place = np.arange(len(run)) - begin[run] + table.column("start").to_numpy().astype(np.int64)[run]
-    anchor, doc = table.column("anchor").to_numpy()[run], table.column("ord").to_numpy()[run]
-    order = np.lexsort((place, doc, content, anchor))
-    a, c, d, p = anchor[order], content[order], doc[order], place[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    late = np.empty(len(run), np.uint8)
-    late[order] = (d != d[first]) | (p != p[first])
-    some = np.flatnonzero(np.add.reduceat(late, begin, dtype=np.int64) > 0)
-    data = late.tobytes()
-    bits = [data[begin[i] : begin[i] + n[i]] for i in some.tolist()]
-    picked = table.select(names[:-1]).take(pa.array(some)).combine_chunks()
-    for batch in picked.append_column("bits", pa.array(bits, pa.binary())).to_batches(max_chunksize=1 << 16):
-        yield pa.RecordBatch.from_arrays(batch.columns, names=names)
+            late = pa.array([b"\x01" * n for n in whole.column("n").to_pylist()], pa.binary())
+            parts.append(pa.Table.from_arrays([*(whole.column(c) for c in ("shard", "ord", "text", "start")), late, pa.nulls(len(late), pa.binary())], schema=_LATE))
+        table = table.filter(table.column("words").is_valid())
+        if table.num_rows:
+            texts = [t.split(b" ") for t in table.column("words").to_pylist()]
+            spell = Codes(list(dict.fromkeys(chain.from_iterable(texts))))
+            codes, hot = [spell.of(t) for t in texts], table.column("hot").to_numpy()
+            passages = _recurring(codes, spell.digits, hot, window)
+            if passages:
+                parts += decided(table, texts, hot, *_located(codes, passages, spell.digits, window))
+        return pa.concat_tables(parts) if parts else _LATE.empty_table()
+
+    def decided(table, texts, hot, stretch, place, number) -> Iterator[pa.Table]:
+        doc, start = table.column("ord").to_numpy(), table.column("start").to_numpy().astype(np.int64)
+        d, p = doc[stretch], start[stretch] + place
+        order = np.lexsort((p, d, number))
+        same = np.concatenate([[False], number[order][1:] == number[order][:-1]])
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        late = np.zeros(len(order), bool)
+        late[order] = (d[order] != d[order][first]) | (p[order] != p[order][first])
+        sizes = table.column("n").to_numpy().astype(np.int64)
+        begin = np.cumsum(sizes) - sizes
+        marks = np.zeros(int(sizes.sum()), np.uint8)
+        marks[begin[stretch] + place] = late
+        some = np.flatnonzero(np.add.reduceat(marks, begin, dtype=np.int64) > 0)
+        data = marks.tobytes()
+        picked = table.select(["shard", "ord", "text", "start"])
+        bits = pa.array([data[begin[i] : begin[i] + sizes[i]] for i in some.tolist()], pa.binary())
+        yield pa.Table.from_arrays([*picked.take(pa.array(some)).columns, bits, pa.nulls(len(some), pa.binary())], schema=_LATE)
+        ahead = np.flatnonzero(hot[stretch] & ~late)
+        if len(ahead):
+            rows = picked.take(pa.array(stretch[ahead]))
+            at = place[ahead]
+            full = [b" ".join(texts[i][q : q + window]) for i, q in zip(stretch[ahead].tolist(), at.tolist(), strict=True)]
+            starts = pa.array((rows.column("start").to_numpy() + at).astype(np.int32))
+            yield pa.Table.from_arrays([rows.column("shard"), rows.column("ord"), rows.column("text"), starts, pa.nulls(len(full), pa.binary()), pa.array(full, pa.binary())], schema=_LATE)
+
+    return run
 
 
 def _remove(window: int, schema: pa.Schema):
@@ -299,11 +363,10 @@ def _remove(window: int, schema: pa.Schema):
         if not docs.num_rows:
             return schema.empty_table()
         cover: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
-        for o, t, s, b in zip(*(late.column(c).to_pylist() for c in ("ord", "text", "start", "bits")), strict=True):
+        for o, t, s, b in zip(*(late.column(c).to_pylist() for c in ("ord", "text", "start", "late")), strict=True):
             cover.setdefault((o, t), []).append((s, b))
         n_words, n_removed, kept = [], [], []
-        for o, t, text in zip(*(docs.column(c).to_pylist() for c in ("ord", "text", "body")), strict=True):
-            words = (text or "").encode().split()
+        for o, t, words in zip(*(docs.column(c).to_pylist() for c in ("ord", "text")), _unpacked(docs.column("body")), strict=True):
             gone = np.zeros(len(words) + 1, np.int64)
             for s, b in cover.get((o, t), ()):
                 at = np.flatnonzero(np.frombuffer(b, np.uint8)) + s
@@ -318,6 +381,12 @@ def _remove(window: int, schema: pa.Schema):
     return run
 
 
+def _numbered(docs: DataFrame, id_col: str) -> DataFrame:
+    """(id, ord) of the distinct ids that aren't integers: their places in order."""
+    ids = docs.select(col(id_col).alias("id")).where("id is not null").distinct().withColumn("one", F.lit(1))
+    return cut(with_prefix(ids, ["id"], "one", "ord", "before"), "ids").select(F.col("id").alias("known"), "ord")
+
+
 def remove_repeats(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -325,6 +394,8 @@ def remove_repeats(
     window: int = WINDOW,
     shingle: int = SHINGLE,
     shard_bytes: int = SHARD_BYTES,
+    deal_bytes: int = DEAL_BYTES,
+    deal_rows: int = DEAL_ROWS,
 ) -> DataFrame:
     """(id, n_words, n_removed, kept_text): each text without the words of windows that also start earlier.
 
@@ -332,39 +403,56 @@ def remove_repeats(
     or in the same one further ahead. Steps:
 
     1. Winnowing picks phrases of ``shingle`` words such that equal windows contain an equal phrase at an equal place.
-       Phrases picked twice or more anywhere are recurring; every shard of documents is told which it has.
-    2. Each shard compiles its recurring phrases into an Aho-Corasick automaton over words and streams its documents
-       through it. The windows around located phrases are the recurring passages' candidates.
-    3. Candidates meet by phrase; exact order decides which start earlier. Hashes are compared: 64 bits of the phrase
-       and 64 bits of the window together.
+       Phrases picked twice or more anywhere may recur; every shard of documents is told which it has.
+    2. All documents are searched for these phrases, and the stretches of windows around them are dealt by phrase.
+    3. Each deal confirms which windows recur, compiles the recurring passages into an Aho-Corasick automaton over
+       words, and streams its stretches through it. The automaton compares words, not hashes, and locates every
+       occurrence; order decides which start earlier.
     4. Shards drop the words of those windows.
 
-    A shard keeps one run of windows for all equal ones, so a passage that a third of all documents share makes a
-    row for each shard at most. Documents are dealt to shards by hash of id and text, so copies spread. Equal ids are
-    one document for "earlier": of rows repeated under one id, none is earlier by its place alone. Null ids come last
-    and are one. Null texts have no words. An empty table gives an empty table; other columns are ignored."""
-    light = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("body"))
+    A place can only hold passages with its own phrase, so that streaming it through that phrase's automaton alone
+    finds what streaming it through all of them would, at a cost that grows with the input and not with its square.
+
+    A phrase in more than ``deal_rows`` places is dealt to several automata by document; the first of equal windows in
+    each meet in a window function, a row for each automaton. A shard sends on one of equal stretches. Documents are
+    dealt to shards by hash of id and text, so copies spread.
+
+    Ids of any type that can be ordered will do. Equal ids are one document for "earlier": of rows repeated under one
+    id, none is earlier by its place alone. Null ids come last and are one. Null texts have no words. An empty table
+    gives an empty table; other columns are ignored."""
+    kind = docs.schema[id_col].dataType
+    light = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("body"))
+    if isinstance(kind, T.IntegralType):
+        light = light.withColumn("ord", F.col("id").cast("bigint"))
+    else:
+        light = light.join(_numbered(docs, id_col), F.col("id") == F.col("known"), "left")
     total = light.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_bytes))
-    light = light.select(
-        "id",
-        F.coalesce("id", F.lit((1 << 63) - 1)).alias("ord"),
-        "body",
-        F.xxhash64("body").alias("text"),
-    ).withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int"))
-    anchors = light.select("shard", "body").mapInArrow(_anchors(window, shingle), "anchor long, shard int, n int")
-    recurring = anchors.repartition("anchor").mapInArrow(_recurring, "shard int, anchor long")
-    runs = (
-        light.select("shard", "ord", "text", "body")
+    shards, deals = max(1, math.ceil(total / shard_bytes)), max(1, math.ceil(total / deal_bytes))
+    light = light.select("id", F.coalesce("ord", F.lit((1 << 63) - 1)).alias("ord"), "body", F.xxhash64("body").alias("text"))
+    light = light.withColumn("shard", F.pmod(F.xxhash64("ord", "text"), F.lit(shards)).cast("int"))
+    picked = light.select("shard", "body").mapInArrow(_phrases(window, shingle), "phrase long, shard int, n long")
+    # a phrase has a row for each shard here, however many documents have it
+    counted = picked.withColumn("times", F.sum("n").over(Window.partitionBy("phrase"))).where("times > 1")
+    recurring = counted.select("shard", "phrase", F.ceil(F.col("times") / deal_rows).cast("bigint").alias("parts"))
+    packed = light.mapInArrow(_pack, T.StructType([T.StructField("body", T.BinaryType()) if f.name == "body" else f for f in light.schema]))
+    stretches = (
+        packed.select("shard", "ord", "text", "body")
         .groupBy("shard")
         .cogroup(recurring.groupBy("shard"))
-        .applyInArrow(_passages(window, shingle), "anchor long, shard int, ord long, text long, start int, n int, hashes binary")
+        .applyInArrow(_stretches(window, shingle, deals), "deal long, hot boolean, shard int, ord long, text long, start int, n int, words binary")
+    )
+    settled = cut(
+        stretches.groupBy("deal").applyInArrow(_settle(window), "shard int, ord long, text long, start int, late binary, window binary"), "settled"
     )
-    late = runs.repartition("anchor").mapInArrow(_earlier, "shard int, ord long, text long, start int, bits binary")
-    out = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
+    place = F.struct("ord", "start")
+    ahead = F.min(place).over(Window.partitionBy("window"))
+    across = settled.where("window is not null").withColumn("first", ahead).where(place > F.col("first")).withColumn("late", F.lit(b"\x01"))
+    columns = ["shard", "ord", "text", "start", "late"]
+    late = settled.where("window is null").select(*columns).unionByName(across.select(*columns))
+    out = pa.schema([pa.field("id", _arrow(kind)), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
     done = (
-        light.groupBy("shard")
+        packed.groupBy("shard")
         .cogroup(late.groupBy("shard"))
-        .applyInArrow(_remove(window, out), "id long, n_words long, n_removed long, kept_text string")
+        .applyInArrow(_remove(window, out), T.StructType([T.StructField("id", kind), *T._parse_datatype_string("n_words long, n_removed long, kept_text string")]))
     )
     return done.withColumnRenamed("id", id_col)

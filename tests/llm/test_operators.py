@@ -148,7 +148,8 @@ def test_simhash_groups(spark):
     assert simhash.groups(empty(spark)).count() == 0
 
 
-def test_links_connect_all_near_values(spark):
+@pytest.mark.parametrize("dense", [simhash.DENSE, 3, 1])
+def test_links_connect_all_near_values(spark, dense):
     rng = random.Random(3)
     values = {0, 1, 3, 7, (1 << 64) - 1, 1 << 63}
     for _ in range(30):
@@ -156,9 +157,11 @@ def test_links_connect_all_near_values(spark):
         values.add(x)
         for _ in range(12):
             values.add(x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    crowd = rng.getrandbits(32)  # one segment in common
+    values |= {crowd | rng.getrandbits(32) << 32 for _ in range(90)} | {crowd | 7 << 32 ^ 1 << b for b in range(64)}
     values = sorted(values)
     signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
-    found = graph.components(simhash.links(spark.createDataFrame(signed, "fp long")))
+    found = graph.components(simhash.links(spark.createDataFrame(signed, "fp long"), dense=dense))
     root = {r.node: r.root for r in found.collect()}
     parent = {v: v for v in values}
 
@@ -364,9 +367,39 @@ def test_repeats_at_random(spark, seed):
         if i % 9 == 0:
             parts.append("x y " * rng.randint(5, 30))
         rows.append((i * 3, " ".join(parts)))
-    out = substring.remove_repeats(docs(spark, rows), shard_bytes=2000)
-    got = out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256))
-    assert plain(got) == sorted(brute.repeats(rows), key=repr)
+    want = sorted(brute.repeats(rows), key=repr)
+    for more in ({}, {"deal_bytes": 1500}, {"deal_rows": 2}, {"deal_bytes": 3000, "deal_rows": 9}):
+        out = substring.remove_repeats(docs(spark, rows), shard_bytes=2000, **more)
+        got = out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256))
+        assert plain(got) == want
+
+
+def test_a_passage_that_most_documents_share(spark):
+    rng = random.Random(8)
+    shared = prose(50, rng)
+    rows = [(i, f"{prose(12, rng)} {shared} {prose(9, rng)}" if i % 3 else prose(60, rng)) for i in range(240)]
+    out = substring.remove_repeats(docs(spark, rows), shard_bytes=4000, deal_rows=10)
+    assert plain(out.select("doc_id", "n_words", "n_removed")) == sorted([r[:3] for r in brute.repeats(rows)], key=repr)
+
+
+def test_the_automaton_decides(spark, monkeypatch):
+    texts = [b"a b c d e f".split(), b"x b c d e y".split(), b"b c d z".split()]
+    spell = substring.Codes(sorted({w for t in texts for w in t}))
+    codes = [spell.of(t) for t in texts]
+    passages = substring._recurring(codes, spell.digits, substring.np.zeros(3, bool), 3)
+    assert sorted(passages) == sorted({spell.of(b"b c d e".split()), spell.of(b"b c d".split())})
+    stretch, place, number = substring._located(codes, passages, spell.digits, 3)
+    found = {(s, p): n for s, p, n in zip(stretch.tolist(), place.tolist(), number.tolist(), strict=True)}
+    assert set(found) == {(0, 1), (0, 2), (1, 1), (1, 2), (2, 0)} and found[0, 1] == found[1, 1] == found[2, 0] != found[0, 2] == found[1, 2]
+    # passages that aren't in the automaton aren't found
+    assert not len(substring._located(codes, [spell.of(b"f a b".split())], spell.digits, 3)[0])
+
+
+def test_repeats_of_text_ids(spark):
+    same = prose(30)
+    rows = [("b", same), ("a", "x " + same), ("c", same + " y"), (None, same)]
+    out = substring.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert plain(out.select("doc_id", "n_removed")) == sorted([("a", 0), ("b", 30), ("c", 30), (None, 30)], key=repr)
 
 
 def test_repeats_of_odd_ids(spark):
