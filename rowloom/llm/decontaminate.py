@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import alnum_words, cut, fresh, small, text_key, text_or_empty
-from rowloom.llm.grams import grams, wanted_grams
+from rowloom.llm.common import alnum_words, col, cut, fresh, small, text_key, text_or_empty
+from rowloom.llm.grams import gram_counts, gram_places, grams, words_around
 
 WINDOW = 13
 SHINGLE = 5
@@ -19,7 +19,7 @@ def benchmark_windows(bench: DataFrame, item_id: str, item_text: str, window: in
 
     An item of fewer words than ``window`` is one window; an item without words has none. Items with equal ids are
     one; null ids aren't listed, but their windows count."""
-    items = bench.select(F.col(item_id).cast("string").alias("item"), alnum_words(text_or_empty(item_text)).alias("words"))
+    items = bench.select(col(item_id).cast("string").alias("item"), alnum_words(text_or_empty(item_text)).alias("words"))
     last = F.greatest(F.size("words") - window, F.lit(0))
     at = items.where(F.size("words") > 0).select("item", "words", F.explode(F.sequence(F.lit(0), last)).alias("at"))
     return (
@@ -54,29 +54,35 @@ def _matched(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item
         shingles = part if shingles is None else shingles.unionByName(part)
     shingles = cut(shingles, "shingles")
     wanted = cut(shingles.select("h").distinct(), "wanted")
-    # window words before a shingle, and from its first word on, are all that a check of any window around it needs
-    found = cut(wanted_grams(docs, id_col, text_col, small(wanted), sizes, window - 1, window), "found")
-    rows = found.where("marks").select("id", "key", "n_words")
     # Rarity over all documents. A window needs all of its shingles, so its prefix is one token: the rarest. A window
     # with a shingle that no document has can't occur at all.
-    counts = found.where("h is not null").groupBy("h").agg(F.count("*").alias("times"))
+    counts = gram_counts(docs, text_col, small(wanted), sizes)
     prefix = (
-        shingles.join(counts, "h", "left")
+        shingles.join(counts, "h")
         .groupBy("window", "n", "size")
-        .agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "off", "h")).alias("rarest"))
-        .where("rarest.times > 0")
-        .select("window", "n", F.col("size").alias("token_size"), "rarest.off", F.col("rarest.h").alias("token"))
+        .agg(F.count("*").alias("had"), F.min(F.struct("times", "off", "h")).alias("rarest"))
+        .where(F.col("had") == F.col("n") - F.col("size") + 1)
+        .select("window", "n", F.col("size").alias("token_size"), "rarest.off", F.col("rarest.h").alias("h"))
     )
     prefix = cut(prefix, "prefix")
+    tokens = cut(prefix.select("h").distinct(), "tokens")
+    found = cut(gram_places(docs, id_col, text_col, small(tokens), sizes), "found")
+    rows = found.where("marks").select("id", "key", "n_words")
     start = F.col("pos") - F.col("off")
-    places = (
+    candidates = (
         found.where("h is not null")
-        .join(small(prefix), (F.col("h") == F.col("token")) & (F.col("size") == F.col("token_size")))
-        .where((start >= F.col("ctx_from")) & (start + F.col("n") <= F.col("n_words")))
-        .where(F.array_join(F.slice(F.split("ctx", " "), start - F.col("ctx_from") + 1, F.col("n")), " ") == F.col("window"))
-        .select("key", start.alias("from"), (start + F.col("n")).alias("to"), "window")
+        .join(small(prefix), "h")
+        .where((F.col("size") == F.col("token_size")) & (start >= 0) & (start + F.col("n") <= F.col("n_words")))
+        .groupBy("key")
+        .agg(F.collect_set(F.struct(start.alias("from"), F.col("n").alias("n"), F.col("window").alias("window"))).alias("candidates"))
     )
-    places = cut(places.distinct(), "places")
+
+    def verified(words: Column) -> Column:
+        same = F.filter("candidates", lambda c: F.array_join(F.slice(words, c["from"] + 1, c["n"]), " ") == c["window"])
+        return F.transform(same, lambda c: F.struct(c["from"].alias("from"), (c["from"] + c["n"]).alias("to"), c["window"].alias("window")))
+
+    hits = words_around(docs, text_col, cut(candidates, "candidates"), verified, "hits")
+    places = cut(hits.select("key", F.inline("hits")), "places")
     spans = places.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("spans"))
     items = (
         places.select("key", "window")
@@ -106,8 +112,9 @@ def contamination(
     with occurring windows, sorted as strings.
 
     A window, as a set of word shingles, must be contained whole: the prefix that a containment join has to index is
-    its rarest shingle by the counts over all documents. Candidates share that shingle, must have room for the window
-    around it, and are verified word for word over the window's length.
+    its rarest shingle by the counts over all documents. Only these tokens are joined to the documents' shingles.
+    Candidates share a token, must have room for the window around it, and are verified word for word over the
+    window's length, in the texts that have candidates.
 
     Null and empty texts have no words; null ids are kept as rows; repeated rows give repeated rows; empty documents or
     benchmarks give no hits. A text's result is computed once for all copies. Other columns are ignored."""
@@ -127,13 +134,13 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id",
     """The documents that aren't contaminated, with all columns of ``docs``."""
     rows, hits = _matched(docs, bench, id_col, text_col, item_id, item_text, WINDOW, SHINGLE)
     words = rows.groupBy("key").agg(F.min("n_words").alias("n_words"))
+    gone, key = fresh(docs, "clean_gone"), fresh(docs, "clean_key")
     goes = cut(
-        hits.join(words, "key").where((F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))).select(F.col("key").alias("gone_key")),
+        hits.join(words, "key").where((F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))).select(F.col("key").alias(gone)),
         "contaminated",
     )
-    key = fresh(docs, "clean_key")
     return (
-        docs.withColumn(key, text_key(text_or_empty(f"`{text_col}`")))
-        .join(small(goes), F.col(key) == F.col("gone_key"), "left_anti")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        docs.withColumn(key, text_key(text_or_empty(text_col)))
+        .join(small(goes), F.col(key) == F.col(gone), "left_anti")
+        .select(*[col(c) for c in docs.columns])
     )

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import alnum_words, let, text_key, text_or_empty
+from rowloom.llm.common import alnum_words, col, let, small, text_key, text_or_empty
 
 
 def gram_hash(words: Column, at: Column, size: int) -> Column:
@@ -27,40 +27,52 @@ def grams(words: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def wanted_grams(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, sizes: list[int], lead: int, span: int) -> DataFrame:
-    """(id, key, n_words, pos, size, h, ctx_from, ctx): a row for each place where a text has a gram of ``wanted``.
+def sized(words: str, sizes: list[int]) -> Column:
+    """All grams of the given sizes, one size after the other; see ``place_of``."""
+    return F.concat(*[grams(F.col(words), n) for n in sizes])
 
-    ``wanted`` has a column ``h`` of gram hashes without repeats; give it a broadcast hint if it's counted to be
-    small. Each row of ``docs`` also comes once with h null, as its marker. ``ctx`` is the text's words from ``lead``
-    before the gram (as far as there are any) up to ``span`` from it, joined by spaces; ``ctx_from`` is the place of
-    its first word. The join runs in the scan's own tasks, next to the unnested hashes, and only wanted ones go on."""
-    text = text_or_empty(text_col)
-    df = docs.select(F.col(id_col).alias("id"), text_key(text).alias("key"), alnum_words(text).alias("words"))
-    df = df.withColumn("all", F.concat(*[grams(F.col("words"), n) for n in sizes]))
-    rows = df.select("id", "key", "words", F.posexplode_outer("all").alias("at", "gram"))
-    hits = rows.join(wanted.select("h"), F.col("gram") == F.col("h"), "left").where("h is not null or at is null or at = 0")
-    n = F.size("words")
-    # places run over the gram sizes in turn
-    at, size, pos = F.col("at"), F.lit(sizes[-1]), None
+
+def place_of(at: Column, n: Column, sizes: list[int]) -> tuple[Column, Column]:
+    """The size and the first word of the gram at place ``at`` of ``sized``, for a text of ``n`` words."""
     offset, bounds = F.lit(0), []
     for s in sizes:
-        count = F.greatest(n - (s - 1), F.lit(0))
-        bounds.append((s, offset, offset + count))
-        offset = offset + count
-    size = reduce(lambda a, b: F.when(at < b[2], F.lit(b[0])).otherwise(a), reversed(bounds[:-1]), F.lit(sizes[-1]))
-    pos = reduce(lambda a, b: F.when(at < b[2], at - b[1]).otherwise(a), reversed(bounds[:-1]), at - bounds[-1][1])
-    found = hits.select("id", "key", n.cast("bigint").alias("n_words"), "words", "at", "h", pos.alias("pos"), size.alias("size"))
-    ctx_from = F.greatest(F.col("pos") - lead, F.lit(0))
-    known = F.col("h").isNotNull()
-    found = found.select(
-        "id",
-        "key",
-        "n_words",
-        "pos",
-        "size",
-        "h",
-        ctx_from.alias("ctx_from"),
-        F.when(known, F.array_join(F.slice("words", ctx_from + 1, F.col("pos") + span - ctx_from), " ")).alias("ctx"),
-        (F.col("at").isNull() | (F.col("at") == 0)).alias("marks"),
-    )
-    return found
+        bounds.append((s, offset))
+        offset = offset + F.greatest(n - (s - 1), F.lit(0))
+    size, pos = F.lit(sizes[0]), at
+    for s, start in bounds[1:]:
+        size, pos = F.when(at >= start, F.lit(s)).otherwise(size), F.when(at >= start, at - start).otherwise(pos)
+    return size, pos
+
+
+def gram_places(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, sizes: list[int]) -> DataFrame:
+    """(id, key, n_words, pos, size, h, marks): a row for each place where a text has a gram of ``wanted``, and a row
+    that ``marks`` for each row of ``docs`` (its h is null unless its first gram is wanted).
+
+    ``wanted`` has a column ``h`` of gram hashes without repeats; give it a broadcast hint if it's counted to be
+    small: the join then runs in the scan's own tasks, next to the unnested hashes, and only wanted ones go on.
+    Otherwise ids, keys, places and hashes are shuffled, and no words."""
+    text = text_or_empty(text_col)
+    df = docs.select(col(id_col).alias("id"), text_key(text).alias("key"), alnum_words(text).alias("words"))
+    df = df.select("id", "key", F.size("words").alias("n_words"), sized("words", sizes).alias("all"))
+    rows = df.select("id", "key", "n_words", F.posexplode_outer("all").alias("at", "gram"))
+    marks = F.col("at").isNull() | (F.col("at") == 0)
+    hits = rows.join(wanted.select("h"), F.col("gram") == F.col("h"), "left").where(F.col("h").isNotNull() | marks)
+    size, pos = place_of(F.col("at"), F.col("n_words"), sizes)
+    return hits.select("id", "key", F.col("n_words").cast("bigint").alias("n_words"), pos.alias("pos"), size.alias("size"), "h", marks.alias("marks"))
+
+
+def gram_counts(docs: DataFrame, text_col: str, wanted: DataFrame, sizes: list[int]) -> DataFrame:
+    """(h, times): how often the texts have each gram of ``wanted`` (of those that they have), counted in each task
+    before the counts are shuffled."""
+    df = docs.select(alnum_words(text_or_empty(text_col)).alias("words"))
+    rows = df.select(F.explode(sized("words", sizes)).alias("gram"))
+    return rows.join(wanted.select("h"), F.col("gram") == F.col("h")).groupBy("h").agg(F.count("*").alias("times"))
+
+
+def words_around(docs: DataFrame, text_col: str, places: DataFrame, use: Callable[[Column], Column], name: str) -> DataFrame:
+    """(key, ``name``): for each key of ``places`` (a row for each key), once, what ``use`` makes of its text's words;
+    ``use`` may name columns of ``places``. If ``places`` is counted to be small, no text is moved."""
+    text = text_or_empty(text_col)
+    found = docs.select(text_key(text).alias("text_key"), text.alias("text")).join(small(places), F.col("text_key") == F.col("key"))
+    made = found.select("key", let(alnum_words(F.col("text")), use).alias(name))
+    return made.groupBy("key").agg(F.first(name).alias(name))  # copies of a text agree

@@ -100,12 +100,23 @@ def test_contaminated_documents_go(spark):
     assert plain(out.select("doc_id", "text")) == sorted([r for r, b in zip(rows, bad, strict=True) if not b], key=repr)
 
 
+def test_contamination_past_the_broadcast_limit(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [*odd_rows(), *[(100 + i, f"{prose(4000, rng)} {PASSAGE} {prose(4000, rng)}") for i in range(6)]]
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    out = decontaminate.contamination(docs(spark, rows), items(spark))
+    got = out.select("doc_id", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ",").cast("binary"), 256), "contaminated")
+    assert plain(got) == sorted(brute.contamination(rows, ITEMS), key=repr)
+
+
 def test_gram_places(spark):
     df = docs(spark, [(1, "a b c d"), (2, "")])
     wanted = spark.createDataFrame([("b c",), ("c d",)], "g string").select(F.get(grams.grams(F.split("g", " "), 2), F.lit(0)).alias("h"))
-    found = grams.wanted_grams(df, "doc_id", "text", wanted, [1, 2], 1, 2)
-    assert sorted((r.pos, r.size, r.ctx) for r in found.where("h is not null").collect()) == [(1, 2, "a b c"), (2, 2, "b c d")]
+    found = grams.gram_places(df, "doc_id", "text", wanted, [1, 2])
+    assert sorted((r.pos, r.size) for r in found.where("h is not null").collect()) == [(1, 2), (2, 2)]
     assert found.where("marks").count() == 2
+    counts = grams.gram_counts(df.unionByName(df), "text", wanted, [1, 2])
+    assert [r.times for r in counts.collect()] == [2, 2]
 
 
 def test_quality_statistics(spark):
