@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import cut, fresh, let, space_words, text_or_empty
+from rowloom.llm.common import barrier, col, cut, fresh, let, space_words, text_or_empty
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -247,14 +247,14 @@ def fit(
     Of more than ``max_labelled`` labels the ones with the smallest hashes of their ids are used, so the choice
     doesn't hang on any order. Without labels of both kinds there are no rules."""
     chosen = (
-        labels.select(F.col(id_col).alias("label_id"), (F.col(label_col) == 0).alias("bad"))
+        labels.select(col(id_col).alias("label_id"), (col(label_col) == 0).alias("bad"))
         .where("label_id is not null and bad is not null")
         .groupBy("label_id")
         .agg(F.max("bad").alias("bad"))
         .orderBy(F.xxhash64(F.lit(SEED), "label_id"), "label_id")
         .limit(max_labelled)
     )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(
+    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("body")).join(
         F.broadcast(chosen), F.col("id") == F.col("label_id")  # max_labelled rows at most
     )
     stats, names = add_stats(texts, "body")
@@ -285,4 +285,5 @@ def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> tuple[D
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that the base rule and the learned list keep, with the columns they came with."""
     df, names = judge(docs, fit(docs, labels, id_col, text_col), text_col)
-    return df.where(names["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stays = fresh(df, "q_stays")
+    return barrier(df, F.col(names["kept"]), stays).where(F.col(stays)).select(*[col(c) for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import text_or_empty
+from rowloom.llm.common import col, text_or_empty
 from rowloom.llm.prefix import with_prefix
 
 SHARDS = 40
@@ -27,11 +27,11 @@ def shard_by_bytes(
     empty table. Other columns are ignored, whatever their names; texts are read but not moved."""
     text = text_or_empty(text_col)
     light = docs.select(
-        F.col(id_col),
+        col(id_col),
         (F.octet_length(text).cast("bigint") + row_bytes).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     ).toDF("id", "size", "text_crc32")
-    ranked = with_prefix(light, ["id", "text_crc32", "size"], "size", "rank", "before")
+    ranked = with_prefix(light, ["id", "text_crc32", "size"], {"size": "before"}, "rank")
     total = ranked.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     # in whole numbers, which hold up to 10**17 bytes
     middle = F.expr(f"(before * 2 + size) * {shards} div {max(1, 2 * total)}")

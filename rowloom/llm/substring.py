@@ -383,8 +383,8 @@ def _remove(window: int, schema: pa.Schema):
 
 def _numbered(docs: DataFrame, id_col: str) -> DataFrame:
     """(id, ord) of the distinct ids that aren't integers: their places in order."""
-    ids = docs.select(col(id_col).alias("id")).where("id is not null").distinct().withColumn("one", F.lit(1))
-    return cut(with_prefix(ids, ["id"], "one", "ord", "before"), "ids").select(F.col("id").alias("known"), "ord")
+    ids = docs.select(col(id_col).alias("id")).where("id is not null").distinct()
+    return cut(with_prefix(ids, ["id"], {}, "ord"), "ids").select(F.col("id").alias("known"), "ord")
 
 
 def remove_repeats(

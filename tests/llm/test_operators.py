@@ -3,7 +3,9 @@ whose names clash with the operators' own."""
 
 from __future__ import annotations
 
+import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -238,7 +240,7 @@ def test_shards(spark):
 
 def test_prefix_sums(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("a"), (F.col("id") % 5).alias("s"))
-    out = prefix.with_prefix(df, ["a", "s"], "s", "r", "b").orderBy("r").collect()
+    out = prefix.with_prefix(df, ["a", "s"], {"s": "b"}, "r").orderBy("r").collect()
     total = 0
     for i, r in enumerate(out):
         assert (r.a, r.r, r.b) == (i, i, total)
@@ -307,19 +309,45 @@ def test_permutation(spark):
 
 def test_mix(spark):
     rows = [*odd_rows(), *[(100 + i, prose(40 + i)) for i in range(60)]]
-    result, slots = mixing.mix(docs(spark, rows))
-    out = result.collect()
+    result, slots = mixing.mix(docs(spark, rows), block=8, slots_per_shard=50)
+    out, slots = result.collect(), slots.collect()
     assert len(out) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in out)
-    for s in {r.source for r in out}:
-        own = [r for r in out if r.source == s]
+    by_source = {s: [r for r in out if r.source == s] for s in {r.source for r in out}}
+    rank = {s: i for i, s in enumerate(sorted(by_source, key=lambda s: (s is None, s)))}
+    for s, own in by_source.items():
         assert sum(r.size for r in own) == own[0].source_size
-        assert abs(sum(r.taken for r in own) - own[0].target) <= 2 * mixing.BLOCK
-    assert slots.groupBy("out_shard", "out_slot").count().where("count > 1").count() == 0
-    again, _ = mixing.mix(docs(spark, rows).repartition(3))
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(0.1 * own[0].target, 16)
+        # brute force: each slot reads its block's words of the source's stream, in the order of ids, keys and sizes
+        reads = Counter(r.block for r in slots if r.source_rank == rank[s])
+        place = 0
+        for r in sorted(own, key=lambda r: (r.doc_id is not None, r.doc_id or 0, bytes(r.key), r.size)):
+            assert r.taken == sum(reads[w // 8] for w in range(place, place + r.size))
+            place += r.size
+        n = -(-place // 8)
+        assert all(reads[b] <= 2 for b in range(n)) and set(reads) <= set(range(n)) and (max(reads.values()) < 2 or min(reads[b] for b in range(n)) >= 1)
+    assert len({(r.out_shard, r.out_slot) for r in slots}) == len(slots) and max(Counter(r.out_shard for r in slots).values()) <= 50
+    draws = [Counter(r.source_rank for r in slots if r.out_shard == s) for s in sorted({r.out_shard for r in slots})[:-1]]
+    assert len({tuple(sorted(d.items())) for d in draws}) > 1  # shards' counts are drawn, not dealt
+    assert all(max(d[k] for d in draws) - min(d[k] for d in draws) <= len(rank) + 1 for k in rank.values())
+    again, _ = mixing.mix(docs(spark, rows).repartition(3), block=8, slots_per_shard=50)
     assert plain(again.select("doc_id", "size", "taken")) == plain(result.select("doc_id", "size", "taken"))
     assert mixing.mix(empty(spark))[0].count() == 0
 
 
+def test_the_mix_in_blocks(spark):
+    rows = [*odd_rows(), *[(100 + i, prose(40 + i)) for i in range(60)]]
+    blocks = mixing.mixed_blocks(docs(spark, rows), block=8, slots_per_shard=50).collect()
+    result, slots = mixing.mix(docs(spark, rows), block=8, slots_per_shard=50)
+    out = result.collect()
+    assert len(blocks) == slots.count() and sum(len(b.words) for b in blocks) == sum(r.taken for r in out)
+    words = {}
+    for r in sorted(out, key=lambda r: (r.source_rank, r.start)):
+        text = next(t for d, t in rows if d == r.doc_id and len((t or "").split()) == r.size and hashlib.md5((t or "").encode()).digest() == bytes(r.key))
+        words.setdefault(r.source_rank, []).extend(brute.SPACE_WORD.findall(text or ""))
+    assert all(list(b.words) == words[b.source_rank][b.block * 8 : b.block * 8 + 8] for b in blocks)
+    assert mixing.mixed_blocks(empty(spark)).count() == 0
+
+
 def test_resample(spark):
     rows = [(i, prose(30)) for i in range(300)]
     out = mixing.resample(docs(spark, rows))
@@ -329,6 +357,15 @@ def test_resample(spark):
     assert mixing.resample(empty(spark)).count() == 0
 
 
+def test_resample_of_equal_rows(spark):
+    df = docs(spark, [(1, prose(40))] * 5 + [(None, "a b c")] * 2 + [(7, "one"), (7, "two")]).withColumn("a.b", F.rand(1)).withColumn("mix_n", F.lit(1)).withColumn("mix_id", F.lit(1)).withColumn("range_part", F.lit(1))
+    result, _ = mixing.mix(df)
+    words = {r["doc_id"]: r["n"] for r in result.groupBy("doc_id").agg(F.sum("taken").alias("n")).collect()}
+    out = mixing.resample(df)
+    got = Counter(r.doc_id for r in out.collect())
+    assert out.columns == df.columns and abs(got[1] - words[1] / 40) < 5 and len({r["a.b"] for r in out.where("doc_id = 1").collect()}) == min(5, got[1])
+
+
 def test_languages(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language.identify(table, language.samples(table)).join(table, "doc_id").where(language.held_out(F.col("doc_id")))
