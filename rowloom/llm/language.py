@@ -2,30 +2,49 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Learned from, at most: documents of a language (those with the smallest hashes of their ids) and characters of each
-#: language's text, shared out evenly among its documents.
-DOCS_PER_LANGUAGE = 48
-CHARS_PER_LANGUAGE = 40_000
+from rowloom.llm.common import col
+
+#: Learned from, at most: so many labelled rows of each language, those with the smallest hashes of id and text among
+#: the rows of at most SAMPLE_CHARS code points. A language that has longer rows only is learned from the same number
+#: of them. Texts are learned whole.
+DOCS_PER_LANGUAGE = 16
+SAMPLE_CHARS = 4_000
+#: Rows that all languages together are learned from, at most; with many languages each gets its share.
+DOCS_IN_ALL = 512
 SALTS = 64
 SEED = 8
-#: Parsed words that a worker keeps the counts of.
-CACHE_WORDS = 400_000
+#: Code points of texts that are parsed side by side, and texts below which it's faster to go one by one.
+CHUNK_CHARS = 4_000_000
+FEW = 12
 HELD_OUT = 2
 
-_WORD = re.compile(r"[^\W\d_]+")
+_LETTER: list[np.ndarray] = []
+
+
+def _is_letter() -> np.ndarray:
+    """For every code point, whether it is a letter (Unicode category L: digits, fractions, Roman numerals aren't)."""
+    if not _LETTER:
+        _LETTER.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
+    return _LETTER[0]
 
 
-def letters(text: str) -> list[str]:
-    """The words of a text: stretches of letters of any script, in lower case."""
-    return _WORD.findall(text.lower())
+def letters(text: str) -> np.ndarray:
+    """The code points of a text in lower case, whole: letters, and a space for each stretch of anything else, also
+    at either end. Empty if there's no letter."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    is_letter = _is_letter()[points]
+    if not is_letter.any():
+        return np.zeros(0, np.uint32)
+    line = np.concatenate([[32], np.where(is_letter, points, 32), [32]]).astype(np.uint32)
+    return line[np.concatenate([[True], (line[1:] != 32) | (line[:-1] != 32)])]
 
 
 class SuffixAutomaton:
@@ -75,43 +94,89 @@ class SuffixAutomaton:
             state = to
         return count + (state > 0)
 
+    def table(self, classes: dict[str, int]) -> np.ndarray:
+        """The same steps as one array: at state * size + class, four times the next state plus the phrases that
+        end there. Class 0 is any character that the language doesn't have."""
+        size = len(classes) + 1
+        out = np.zeros((len(self.next), size), np.int32)
+        out[0] = 1
+        for c, to in self.next[0].items():
+            out[0, classes[c]] = 4 * to
+        out[1:] = out[0] + 1  # a phrase ends, and the next begins at the root
+        for state, steps in enumerate(self.next[1:], 1):
+            for c, to in steps.items():
+                out[state, classes[c]] = 4 * to
+        return out.ravel()
 
-class Model:
-    """One automaton for each language, over that language's words, each between spaces.
 
-    Texts are parsed word by word, so a phrase doesn't run past a word and a word's counts can be kept."""
+class Model:
+    """An automaton for each language, over its learned texts, each whole and between spaces."""
 
-    def __init__(self, samples: dict[str, list[str]], chars: int = CHARS_PER_LANGUAGE):
+    def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
-        self.automata = [SuffixAutomaton(self.sample(samples[k], chars)) for k in self.languages]
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    @staticmethod
-    def sample(texts: list[str], chars: int) -> str:
-        share = max(1, chars // max(1, len(texts)))
-        return " " + " ".join(" ".join(letters(t[: 4 * share]))[:share] for t in texts) + " "
-
-    def counts(self, word: str) -> tuple[int, ...]:
-        found = self.cache.get(word)
-        if found is None:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            found = self.cache[word] = tuple(a.phrases(f" {word} ") for a in self.automata)
-        return found
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language that needs fewest phrases for each character, the first in order among equals, and a score:
-        the runner-up's share of both. ``und`` and 0 for texts without letters or without any learned language."""
-        words = letters(text) if text else []
-        if not words or not self.languages:
-            return "und", 0.0
-        counts = self.counts
-        total = [sum(x) for x in zip(*map(counts, words), strict=True)]
-        size = sum(map(len, words)) + 2 * len(words)
-        rates = sorted((n / size, k) for n, k in zip(total, self.languages, strict=True))
-        if len(rates) == 1:
-            return rates[0][1], 1.0
-        return rates[0][1], rates[1][0] / (rates[0][0] + rates[1][0])
+        self.classes, self.tables, self.sizes = [], [], []
+        for k in self.languages:
+            learned = "".join(chr(c) for t in samples[k] for c in letters(t).tolist())
+            classes = {c: i for i, c in enumerate(sorted(set(learned)), 1)}
+            of = np.zeros(0x110000, np.int32)
+            for c, i in classes.items():
+                of[ord(c)] = i
+            self.classes.append(of)
+            self.sizes.append(len(classes) + 1)
+            self.tables.append(SuffixAutomaton(learned).table(classes))
+
+    def counts(self, texts: list[np.ndarray]) -> np.ndarray:
+        """The phrases of each text (not empty) by each language, a row for each language: the longest match with the
+        learned text, over and over, to the end of the text. All texts go on by a character at a time."""
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        lengths = np.array([len(texts[i]) for i in order], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        line = np.concatenate([texts[i] for i in order])
+        out = np.zeros((len(self.languages), len(texts)), np.int64)
+        # texts that still go on after t characters
+        going = len(lengths) - np.searchsorted(lengths[::-1], np.arange(int(lengths[0])), side="right")
+        together = int(np.searchsorted(-going, -FEW, side="right")) if len(lengths) > FEW else 0
+        for k, (of, size, table) in enumerate(zip(self.classes, self.sizes, self.tables, strict=True)):
+            kinds = of[line]
+            state, count = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+            for t in range(together):
+                n = going[t]
+                step = table[state[:n] * size + kinds[starts[:n] + t]]
+                count[:n] += step & 3
+                state[:n] = step >> 2
+            if together < len(going):
+                plain = memoryview(table)
+                for i in range(going[together]):
+                    at, n = int(state[i]), int(count[i])
+                    for c in kinds[starts[i] + together : starts[i] + lengths[i]].tolist():
+                        step = plain[at * size + c]
+                        n += step & 3
+                        at = step >> 2
+                    state[i], count[i] = at, n
+            out[k, order] = count + (state > 0)
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """For each text, the language that needs fewest phrases for each character, the first in order among equals,
+        and a score: the runner-up's share of both. ``und`` and 0 for texts without letters or without any learned
+        language."""
+        out = [("und", 0.0)] * len(texts)
+        if not self.languages:
+            return out
+        lines = [letters(t) if t else np.zeros(0, np.uint32) for t in texts]
+        some = [i for i, line in enumerate(lines) if len(line)]
+        if not some:
+            return out
+        rates = self.counts([lines[i] for i in some]) / np.array([len(lines[i]) for i in some])
+        best = rates.argmin(axis=0)
+        if len(self.languages) == 1:
+            score = np.ones(len(some))
+        else:
+            first, second = np.partition(rates, 1, axis=0)[:2]
+            score = second / (first + second)
+        for i, k, x in zip(some, best.tolist(), score.tolist(), strict=True):
+            out[i] = (self.languages[k], x)
+        return out
 
 
 _models: dict[str, Model] = {}
@@ -125,33 +190,45 @@ def _model(samples: dict[str, list[str]], name: str) -> Model:
     return _models[name]
 
 
+def _chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size >= CHUNK_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept for testing: CRC32 of its id as text, modulo 4, is 2 (never for a null id)."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == HELD_OUT, F.lit(False))
 
 
 def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
-    """Labelled texts of each language, DOCS_PER_LANGUAGE at most, cut to what the model reads of them."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("body")).where(
-        F.col("lang").isNotNull() & ~held_out(F.col("id")) & F.col("body").isNotNull()
+    """Labelled texts of each language, whole, by the bounds above. Equal rows count once."""
+    rows = docs.select(col(id_col).alias("id"), col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("body")).where(
+        F.col("lang").isNotNull() & ~held_out(F.col("id")) & F.col("body").rlike(r"\p{L}")
     )
-    chosen = rows.select("lang", F.xxhash64(F.lit(SEED), "id").alias("rank"))
-    # The smallest hashes of each language: first within salted parts, so that no language is one task's work.
-    part = Window.partitionBy("lang", F.pmod("rank", F.lit(SALTS))).orderBy("rank")
+    long = F.length("body") > SAMPLE_CHARS
+    ranked = rows.withColumn("rank", F.struct(long.alias("long"), F.xxhash64(F.lit(SEED), "id", "body").alias("hash")))
+    # The smallest hashes of each language, texts left out: first within salted parts, so that no language is one
+    # task's work.
+    part = Window.partitionBy("lang", F.pmod("rank.hash", F.lit(SALTS))).orderBy("rank")
     whole = Window.partitionBy("lang").orderBy("rank")
-    chosen = chosen.withColumn("n", F.row_number().over(part)).where(F.col("n") <= DOCS_PER_LANGUAGE).drop("n")
+    chosen = ranked.select("lang", "rank").withColumn("n", F.dense_rank().over(part)).where(F.col("n") <= DOCS_PER_LANGUAGE).select("lang", "rank").distinct()
     chosen = chosen.withColumn("n", F.row_number().over(whole)).where(F.col("n") <= DOCS_PER_LANGUAGE)
-    last = chosen.groupBy("lang").agg(F.max("rank").alias("last")).withColumnRenamed("lang", "of")
-    found = (
-        rows.join(F.broadcast(last), F.col("lang") == F.col("of"))  # a row for each language
-        .where(F.xxhash64(F.lit(SEED), "id") <= F.col("last"))
-        .select("lang", F.xxhash64(F.lit(SEED), "id").alias("rank"), F.xxhash64("body").alias("tie"), F.substring("body", 1, CHARS_PER_LANGUAGE // 2).alias("body"))
-        .orderBy("lang", "rank", "tie")
-    )
+    names = [r[0] for r in chosen.select("lang").distinct().collect()]
+    each = max(1, min(DOCS_PER_LANGUAGE, DOCS_IN_ALL // max(1, len(names))))
+    picked = chosen.where(F.col("n") <= each).select(F.col("lang").alias("of"), F.col("rank").alias("at"))
+    # DOCS_PER_LANGUAGE rows for each language
+    found = ranked.join(F.broadcast(picked), (F.col("lang") == F.col("of")) & (F.col("rank") == F.col("at")))
+    texts = found.groupBy("lang", "rank").agg(F.first("body").alias("body")).orderBy("lang", "rank")
     out: dict[str, list[str]] = {}
-    for r in found.toLocalIterator():
-        if len(out.setdefault(r["lang"], [])) < DOCS_PER_LANGUAGE:
-            out[r["lang"]].append(r["body"])
+    for r in texts.toLocalIterator():
+        out.setdefault(r["lang"], []).append(r["body"])
     return out
 
 
@@ -159,18 +236,20 @@ def identify(docs: DataFrame, learned: dict[str, list[str]], id_col: str = "doc_
     """(id, lang_pred, score) for each row of ``docs``, from its text alone.
 
     ``learned`` has labelled texts by language (see ``samples``); its size is bounded by that function's parameters.
-    Every whole text is parsed. Null texts, empty ones and those without letters are ``und`` with score 0, and so is
-    everything if nothing was learned. Rows are independent; other columns are ignored."""
+    Every whole text is parsed, from its first letter to its last, across words: a space stands for each stretch of
+    what isn't a letter. Null texts, empty ones and those without letters are ``und`` with score 0, and so is
+    everything if nothing was learned. Rows are independent, null and repeated ids stay; an empty table gives an empty
+    table; other columns are ignored."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(learned)
     name = f"{spark.sparkContext.applicationId}-{sent._jbroadcast.id() if sent._jbroadcast else id(sent)}"
-    light = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
+    light = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("body"))
     schema = T.StructType([light.schema["id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(sent.value, name)
         for batch in batches:
-            found = [model.predict(t.as_py()) for t in batch.column("body")]
+            found = [p for part in _chunks(batch.column("body").to_pylist()) for p in model.predict(part)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=["id", "lang_pred", "score"],

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -374,25 +375,66 @@ def test_languages(spark):
 
 def test_languages_of_odd_texts(spark):
     learned = {"en": ["the cat and the dog"], "de": ["der hund und die katze"]}
-    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs(spark, [(1, None), (2, " 12 "), (3, "the dog"), (4, "die katze")]), learned).collect()}
-    assert got[1] == got[2] == ("und", 0.0) and got[3][0] == "en" and got[4][0] == "de"
+    rows = [(1, None), (2, " 12 "), (3, "the dog"), (4, "die katze"), (5, "² ½ Ⅷ ٣"), (None, "the cat"), (3, "der hund"), (6, "")]
+    got = {(r.doc_id, r.lang_pred, r.score > 0) for r in language.identify(docs(spark, rows), learned).collect()}
+    assert got == {(1, "und", False), (2, "und", False), (3, "en", True), (4, "de", True), (5, "und", False), (None, "en", True), (3, "de", True), (6, "und", False)}
     assert language.identify(docs(spark), {}).where("lang_pred <> 'und'").count() == 0
+    assert language.identify(empty(spark), learned).count() == 0
     assert language.samples(empty(spark)) == {}
 
 
+def line(text):
+    return " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+
+
+def cross_parsing(text, learned):
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i:j] in learned and text[i : j + 1] in learned:
+            j += 1
+        n, i = n + 1, j
+    return n
+
+
+def test_cross_parsing_of_whole_texts():
+    rng = random.Random(2)
+
+    def made(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    learned = {"a": [made("abc .", 300), made("ab ", 50)], "b": [made("bcdé 1", 200)], "c": [""]}
+    model = language.Model(learned)
+    texts = [made("abcdé .", rng.choice([1, 5, 40, 400])) for _ in range(60)] + [made("ab", 3000), "  ", "xyz", made("bc", 20000)]
+    lines = [line(t) for t in texts if line(t) != "  "]
+    got = model.counts([language.letters(t) for t in texts if line(t) != "  "])
+    for k, name in enumerate(model.languages):
+        whole = "".join(line(t) for t in learned[name] if t)
+        assert got[k].tolist() == [cross_parsing(t, whole) for t in lines]
+    best = model.predict(texts)
+    rates = iter(got.T / [[len(x)] for x in lines])
+    for t, (name, score) in zip(texts, best, strict=True):
+        if line(t) == "  ":
+            assert (name, score) == ("und", 0.0)
+        else:
+            r = next(rates).tolist()
+            assert name == model.languages[r.index(min(r))] and score == pytest.approx(sorted(r)[1] / sum(sorted(r)[:2]))
+
+
+def test_samples_are_bounded(spark):
+    rows = [(1, "same words")] * 300 + [(i, f"word {'x' * i}") for i in range(2, 40)] + [(50, "long " * 3000)]
+    found = language.samples(docs(spark, rows))
+    assert len(found["en"]) == language.DOCS_PER_LANGUAGE and len(set(found["en"])) == len(found["en"]) and max(map(len, found["en"])) <= language.SAMPLE_CHARS
+    assert language.samples(docs(spark, [(1, "long " * 3000)])) == {"en": ["long " * 3000]}
+
+
 def test_phrases_against_all_substrings():
     rng = random.Random(2)
     text = "".join(rng.choice("abc ") for _ in range(200))
     automaton = language.SuffixAutomaton(text)
     for _ in range(200):
         s = "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 25)))
-        n = i = 0
-        while i < len(s):
-            j = i + 1
-            while j < len(s) and s[i : j + 1] in text and s[i:j] in text:
-                j += 1
-            n, i = n + 1, j
-        assert automaton.phrases(s) == n
+        assert automaton.phrases(s) == cross_parsing(s, text)
 
 
 def test_repeats(spark):
