@@ -74,7 +74,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         *[F.size(f"base.{k}").cast("bigint").alias(f"n_{k}") for k in pii.KINDS],
         F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"),
-        F.array_join(F.concat(base, pii.listed("other", F.col("more"))), ",").alias("spans"),
+        F.array_join(F.concat(base, pii.listed(None, F.col("more"))), ",").alias("spans"),
     )
 
 

@@ -522,6 +522,50 @@ def test_added_spans(spark):
     assert all((r.n == 1) == (r.doc_id % 2 == 1) for r in found)
 
 
+def planted(rng):
+    """(text, wanted spans, decoys): personal data that no base kind has, with or without a cue, and what only looks like it."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    wanted = [
+        f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{digits(4)}",
+        f"{rng.randint(200, 999)}-{rng.randint(10, 99)}-{digits(4)}",
+        f"a{hexes(30)}7",
+        f"{rng.choice(['Dr', 'Mrs', 'Herr'])}. {rng.choice(['Jane', 'Peter', 'Ursula'])} {rng.choice(['Miller', 'Schmidt'])}",
+        f"@{rng.choice(['jane', 'peter', 'maria'])}_{digits(3)}",
+    ]
+    decoys = [f"{rng.randint(1990, 2025)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{digits(2)}.{digits(3)}.{digits(3)}", f"978-{digits(10)}", digits(8)]
+    cues = ["phone", "ssn", "token =", "dear", "follow"], ["date", "version", "isbn", "item"]
+    parts, at, places = [], 0, ([], [])
+    for kind, (values, words) in enumerate(zip((wanted, decoys), cues, strict=True)):
+        for v, w in zip(values, words, strict=True):
+            lead = f"{prose(6, rng)} {w + ' ' if rng.random() < 0.6 else ''}"
+            parts.append(lead + v + " , ")
+            places[kind].append((at + len(lead), at + len(lead) + len(v)))
+            at += len(parts[-1])
+    return "".join(parts), *places
+
+
+def test_recall_of_added_spans(spark):
+    rng = random.Random(3)
+    made = [planted(rng) for _ in range(150)]
+    out = pii.find(docs(spark, [(i, t) for i, (t, _, _) in enumerate(made)])).collect()
+    found = {r.doc_id: {(x.s, x.e) for k in (*[r.base[k] for k in pii.KINDS], r.more) for x in k} for r in out}
+    caught = [span in found[i] for i, (_, wanted, _) in enumerate(made) for span in wanted]
+    wrong = [span in found[i] for i, (_, _, decoys) in enumerate(made) for span in decoys]
+    assert sum(caught) >= 0.9 * len(caught) and sum(wrong) <= 0.1 * len(wrong)
+    assert {x.kind for r in out for x in r.more} == {"number", "handle", "name", "secret"}
+
+
+def test_span_features_decide_where_labelers_are_silent():
+    chance = pii.fit({"++0+0+n2110": 50, "++000+n2110": 40, "00000+n2110": 4, "00000+n1000": 4, "--0-0-n1000": 60, "--000-n1000": 50})
+    assert chance["00000+n2110"] > chance["00000+n1000"]
+
+
+def test_check_digits(spark):
+    df = spark.createDataFrame([("GB82WEST12345698765432",), ("GB82WEST12345698765433",)], "c string")
+    assert [r[0] for r in df.select(pii.mod_97(F.col("c"))).collect()] == [True, False]
+
+
 def test_reliabilities_are_learned():
-    chance = pii.fit({"++0+0": 50, "--0-0": 60, "0000+": 5, "+-000": 3})
-    assert chance["++0+0"] > 0.9 and chance["--0-0"] < 0.1 and pii.fit({}) == {}
+    chance = pii.fit({"++0+0+n2110": 50, "--0-00n1000": 60, "0000+0n3310": 5, "+-0000n2110": 3})
+    assert chance["++0+0+n2110"] > 0.9 and chance["--0-00n1000"] < 0.1 and pii.fit({}) == {}
