@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from rowloom.llm.sharding import ROW_BYTES, SHARDS
-from rowloom.llm.urls import RULES
+from rowloom.llm.urls import ALIAS_HOST, ALIAS_PATH, RULES, TRACKING
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = rf"list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -49,15 +49,27 @@ FROM placed"""
 
 _fits = {r: f"((host = '{r[0]}' OR ends_with(host, '.{r[0]}')) AND starts_with(path, '{r[1]}'))" for r in RULES}
 _ordered = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
-#: For pages without canonical links and refreshes, which the given tables don't have; tests cover aliases.
+_own = f"CASE {' '.join(f"WHEN {_fits[r]} THEN '{r[2]}'" for r in _ordered)} END"
+#: For pages without canonical links and refreshes, which the given tables don't have: classes are then the urls of one
+#: canonical form, with that form. Tests cover links.
 URL_FILTER = rf"""
 WITH parts AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+    regexp_extract(coalesce(url, ''), '(?s)^[^?#]*\?([^#]*)', 1) AS query FROM pages),
 ruled AS (
-  SELECT *, CASE {' '.join(f"WHEN {_fits[r]} THEN '{r[0]}{r[1]}'" for r in _ordered)} END AS rule,
-    CASE {' '.join(f"WHEN {_fits[r]} THEN '{r[2]}'" for r in _ordered)} END AS own FROM parts)
-SELECT page_id, host, path, rule, coalesce(own, 'allow') AS verdict, CASE WHEN own IS NULL THEN 'default' ELSE 'rule' END AS via FROM ruled"""
+  SELECT *, CASE {' '.join(f"WHEN {_fits[r]} THEN '{r[0]}{r[1]}'" for r in _ordered)} END AS rule, {_own} AS own FROM parts),
+formed AS (
+  SELECT *, regexp_replace(host, '{ALIAS_HOST}', '') AS h, regexp_replace(path, '{ALIAS_PATH}', '') AS p,
+    list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '{TRACKING}')) AS q FROM ruled),
+classed AS (SELECT *, CASE WHEN host <> '' THEN h || p || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS class FROM formed),
+members AS (
+  SELECT class, own FROM classed WHERE class IS NOT NULL
+  UNION ALL SELECT class, {_own} FROM (SELECT DISTINCT class, h AS host, p AS path FROM classed WHERE class IS NOT NULL)),
+spread AS (SELECT class, CASE WHEN bool_or(own = 'allow') THEN 'allow' WHEN bool_or(own = 'block') THEN 'block' END AS spread FROM members GROUP BY class)
+SELECT page_id, host, path, rule, coalesce(own, spread, 'allow') AS verdict,
+  CASE WHEN own IS NOT NULL THEN 'rule' WHEN spread IS NOT NULL THEN 'alias' ELSE 'default' END AS via
+FROM classed LEFT JOIN spread USING (class)"""
 
 REPEATED_PASSAGES = f"""
 WITH docs AS (SELECT doc_id, {_SPACED} AS w FROM documents),

@@ -278,15 +278,50 @@ def test_decisions_spread(spark):
         (5, "http://c.io/", canonical("http://bad.net/")),
         (6, "http://d.io/", None),
         (7, "http://c.io/#f", ""),
+        (8, "https://www.example.com/de", None),
+        (9, "http://m.example.com/de/?utm_source=feed", None),
     ]
     out = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"))
     got = {r.page_id: (r.verdict, r.via) for r in out.collect()}
     assert got[1] == got[2] == ("allow", "alias") and got[3] == ("allow", "rule") and got[4] == ("block", "rule")
     assert got[5] == got[7] == ("block", "alias") and got[6] == ("allow", "default")
+    assert got[8] == ("block", "alias") and got[9] == ("block", "rule")
     more = spark.createDataFrame([("http://d.io/", "http://bad.net/")], "source string, target string")
     assert urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), more).where("page_id = 6").first().verdict == "block"
 
 
+def test_links_in_pages(spark):
+    rows = [
+        ("http://a.io/x/y/z", '<link rel="canonical" href="../q?a=1&amp;b=2">', "a.io/x/q?a=1&b=2"),
+        ("http://a.io/x/y", '<base href="//b.io/c/"><link rel=canonical href=d>', "b.io/c/d"),
+        ("http://a.io", "<link rel='canonical' href='./e/../f/'>", "a.io/f/"),
+        ("http://a.io/k?z", '<meta http-equiv=refresh content="5;url=?y">', "a.io/k?y"),
+        ("http://a.io/k", '<link rel="stylesheet" href="canonical.css">', None),
+    ]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(rows)], "page_id long, url string, html string")
+    found = {r.u: r.v for r in urls.page_links(pages).collect()}
+    assert found == {u.split("://")[1]: v for u, _, v in rows if v}
+
+
+def test_canonical_forms(spark):
+    forms = {"www.a.io/b/": "a.io/b", "m.a.io": "a.io", "a.io/": "a.io", "a.io/i/index.html?utm_source=f&b=1&ref=x": "a.io/i?b=1", "a.io/b.htm": "a.io/b", "a.io/?ref=": "a.io", "a.io/b?c=d&e": "a.io/b?c=d&e"}
+    df = spark.createDataFrame(list(forms.items()), "u string, want string").withColumn("got", urls.canonical_node(F.col("u")))
+    df = df.withColumn("again", urls.canonical_node(F.col("got")))
+    assert df.where("got <> want or again <> got").collect() == []
+
+
+def test_a_hub_that_very_many_pages_name(spark):
+    spam = '<link rel="canonical" href="http://spam.net/hub">'
+    pages = spark.range(30000).select(
+        F.col("id").alias("page_id"),
+        F.concat(F.lit("http://site"), F.col("id"), F.lit(".io/p")).alias("url"),
+        F.when(F.col("id") % 3 == 0, spam).when(F.col("id") % 3 == 1, F.concat(F.lit('<link rel=canonical href="http://site'), F.col("id") - 1, F.lit('.io/p">'))).alias("html"),
+    )
+    out = urls.judge(pages)
+    counts = {(r.verdict, r.via): r["count"] for r in out.groupBy("verdict", "via").count().collect()}
+    assert counts == {("block", "alias"): 20000, ("allow", "default"): 10000}
+
+
 def test_targets(spark):
     sizes = {"a": 100, "b": 1000, "c": 50, "d": 10, None: 40}
     out = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
