@@ -37,6 +37,47 @@ def test_run(spark):
     assert a.count() > 0 and a.exceptAll(b).count() == 0 and corpus_pipeline.ORACLE_SQL is None
 
 
+ODD = ["out_id", "out_key", "gone_key", "id", "key", "text_key", "clean_key", "clean_gone", "simhash_key", "simhash_gone_id", "mix_n", "mix_id", "mix_key", "mix_place",
+       "range_part", "range_part_rows", "rank", "before", "size", "q_kept", "q_stays", "fp", "root", "window", "a.b", "n", "u", "v", "words", "shard", "first_id"]
+
+
+def odd_tables(spark, folder, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for i, c in enumerate(ODD):
+        docs = docs.withColumn(c, F.lit(i if i % 2 else f"x{i}"))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels = [(r[0], i % 2, 0) for i, r in enumerate(rows[:40])] + ([(None, 1, 0), (2, None, None)] if rows else [])
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    items = [(1, "a benchmark item " * 9), (None, None), (2, "")] if rows else []
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    pages = [(1, None, None), (None, "http://a.net/x", "<p>"), (2, "", "")] if rows else []
+    spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("node", F.lit(1)).withColumn("a.b", F.lit(1)).write.parquet(f"{folder}/pages.parquet")
+
+
+def test_odd_tables(spark, tmp_path):
+    rows = [(i, " ".join(f"word{(i * 31 + j * 7) % 900}" for j in range(60)), "en", f"s{i % 3}", 1) for i in range(60)]
+    rows += [(None, rows[3][1], None, None, None), (None, None, None, None, None), (5, rows[7][1], "en", "s1", 1), rows[9], rows[9], rows[9]]
+    rows += [(70, "", "en", "s0", 0), (71, " \n", "en", None, 2), (72, "a benchmark item " * 12 + rows[0][1], "en", "s0", 9), (73, "long " + " ".join(f"w{j}" for j in range(30000)), "en", "s2", 9)]
+    odd_tables(spark, tmp_path, rows)
+    sf = str(tmp_path)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        docs = out
+    assert docs.count() > 60 and docs.where("doc_id in (70, 71, 72)").count() == 0
+    assert corpus_pipeline.run(spark, sf).count() > 60
+    for name, query in QUERIES.items():
+        assert query(spark, sf).count() == (3 if name.startswith("op6") else len(rows)), name
+
+
+def test_empty_tables(spark, tmp_path):
+    odd_tables(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    for name, query in QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == 0, name
+
+
 def test_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
 
