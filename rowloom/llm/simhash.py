@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ BITS = 64
 SEGMENTS = 2
 #: Fingerprints that an entry of a segment table may have, for its members to be compared one by one.
 DENSE = 64
+#: Fingerprints that a task makes the probes of.
+PRINTS_PER_TASK = 20_000
 #: Shingle hashes whose bits are unpacked at a time: 64 bytes each.
 CHUNK = 1 << 16
 
@@ -79,19 +81,32 @@ def segment(fingerprint: Column, number: int) -> Column:
     return fingerprint.bitwiseAND(F.lit(mask - (1 << BITS) if mask >> 63 else mask))
 
 
-def _segments(prints: DataFrame, around: bool) -> DataFrame:
-    """(u, segment, value): each fingerprint's segments, or also the values one bit from them."""
+def _segments(prints: DataFrame, ball: Callable[[Column, range], Column]) -> DataFrame:
+    """(u, segment, value): for each fingerprint and segment, the values that ``ball`` makes of it."""
     width = BITS // SEGMENTS
 
     def of(s: int) -> Column:
-        own = segment(F.col("u"), s)
-        values = [own, *flipped(own, range(s * width, (s + 1) * width))] if around else [own]
-        return F.array(*[F.struct(F.lit(s).alias("segment"), v.alias("value")) for v in values])
+        values = ball(segment(F.col("u"), s), range(s * width, (s + 1) * width))
+        return F.transform(values, lambda v: F.struct(F.lit(s).alias("segment"), v.alias("value")))
 
-    table = prints.select("u", F.explode(F.flatten(F.array(*[of(s) for s in range(SEGMENTS)]))).alias("x"))
+    table = prints.select("u", F.explode(F.concat(*[of(s) for s in range(SEGMENTS)])).alias("x"))
     return table.select("u", "x.segment", "x.value")
 
 
+def _alone(value: Column, bits: range) -> Column:
+    return F.array(value)
+
+
+def _ball(value: Column, bits: range) -> Column:
+    """All values at most one bit away."""
+    return F.array(value, *flipped(value, bits))
+
+
+def _half_ball(value: Column, bits: range) -> Column:
+    """The value, and those with one bit more. Of two values one bit apart, one has the other in its half."""
+    return F.concat(F.array(value), F.filter(F.array(*flipped(value, bits)), lambda x: F.bit_count(x) > F.bit_count(value)))
+
+
 def _met(prints: DataFrame) -> DataFrame:
     """(u, v) of fingerprints that meet in the values at most one bit from each: all at distance 2 or less do, and a
     value has no more than the 65 around it. Each links to the one before it."""
@@ -104,35 +119,33 @@ def links(prints: DataFrame, name: str = "fp", dense: int = DENSE) -> DataFrame:
 
     Multi-index hashing: every fingerprint is entered in a table by each of its SEGMENTS segments. Of two at distance 2,
     one segment differs in one bit at most, so probing each segment's Hamming ball of radius 1 finds one in an entry
-    of the other; complete distances of the matches are verified.
+    of the other; as each probes, half of the ball will do. Complete distances of the matches are verified.
 
     An entry with more than ``dense`` fingerprints would compare them all with one another. Dense entries aren't
     probed. All fingerprints that have a segment in a dense entry, or one bit from it, instead look for each other by
     whole values: each is entered under the 65 values around it, and what meets there is verified. Both ways lose
     nothing, and none compares more than ``dense`` times 33 values with one."""
     own = prints.select(F.col(name).alias("u"))
-    table = cut(_segments(own, False), "segments")
+    table = cut(_segments(own, _alone), "segments")
+    n = table.count() // SEGMENTS
+    own = own.repartition(max(1, n // PRINTS_PER_TASK), "u")  # a few bytes a row here, and 33 rows each from here on
     crowded = cut(table.groupBy("segment", "value").count().where(F.col("count") > dense).select("segment", "value"), "dense")
-    near = F.col("u").bitwiseXOR(F.col("v"))
-    apart = F.bit_count(near) <= DISTANCE
-    entries = table.select(F.col("u").alias("v"), "segment", "value")
-    if crowded.isEmpty():
-        return _segments(own, True).join(entries, ["segment", "value"]).where((F.col("u") > F.col("v")) & apart).select("u", "v").distinct()
-    crowded = small(crowded)
-    entries = entries.join(crowded, ["segment", "value"], "left_anti")
-    # A fingerprint in a dense entry isn't sent to probe around it either: what it could find there is near a dense
-    # entry itself, and meets it by whole values.
-    probing = table.join(crowded, ["segment", "value"], "left_anti").select("u", "segment")
-    width = BITS // SEGMENTS
-    around = [
-        F.array(segment(F.col("u"), s), *flipped(segment(F.col("u"), s), range(s * width, (s + 1) * width))) for s in range(SEGMENTS)
-    ]
-    balls = F.element_at(F.array(*around), F.col("segment") + 1)
-    probes = probing.select("u", "segment", F.explode(balls).alias("value"))
-    found = probes.join(entries, ["segment", "value"]).where((F.col("u") > F.col("v")) & apart).select("u", "v")
-    beside = _segments(own, True).join(crowded, ["segment", "value"], "left_semi").select("u").distinct()
-    met = _met(beside).where(apart)
-    return found.unionByName(met).distinct()
+    apart = (F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE)
+    entries, probes = table.select(F.col("u").alias("v"), "segment", "value"), _segments(own, _half_ball)
+    beside = None
+    if not crowded.isEmpty():
+        crowded = small(crowded)
+        beside = _segments(own, _ball).join(crowded, ["segment", "value"], "left_semi").select("u").distinct()
+        entries = entries.join(crowded, ["segment", "value"], "left_anti")
+        # A fingerprint in a dense entry doesn't probe around it: what is near it there is beside a dense entry too.
+        dealt = table.join(crowded, ["segment", "value"], "left_semi").groupBy("u").agg(F.expr("bit_or(shiftleft(1, segment))").alias("in"))
+        probes = probes.join(small(cut(dealt.withColumnRenamed("u", "member"), "members")), F.col("u") == F.col("member"), "left").where(
+            F.expr("coalesce(`in`, 0) & shiftleft(1, segment) = 0")
+        )
+    found = probes.join(entries, ["segment", "value"]).where(apart).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    if beside is not None:
+        found = found.unionByName(_met(beside).where(apart))
+    return found.distinct()
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
