@@ -27,7 +27,7 @@ SHARD_BYTES = 4_000_000
 #: thousand stretches of 27 words.
 DEAL_BYTES = 600_000
 #: Places of one phrase that are streamed through one automaton.
-DEAL_ROWS = 4_000
+DEAL_ROWS = 1_000
 #: Words that are hashed at a time.
 CHUNK_WORDS = 200_000
 
@@ -215,7 +215,7 @@ def _stretches(window: int, shingle: int, deals: int):
                 if first == (doc, p):
                     out.append((to, hot, doc, text, p, n, stretch))
                 else:
-                    out.append((p % deals, False, doc, text, p, n, None))
+                    out.append(((doc + p) % deals, False, doc, text, p, n, None))
         if not out:
             return _STRETCH.empty_table()
         to, hot, doc, text, place, n, stretch = zip(*out, strict=True)
