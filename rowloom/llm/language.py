@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowloom.llm.common import col
+from rowloom.llm.common import col, cut, small
 
 #: Learned from, at most: so many labelled rows of each language, those with the smallest hashes of id and text among
 #: the rows of at most SAMPLE_CHARS code points. A language that has longer rows only is learned from the same number
@@ -19,7 +19,8 @@ DOCS_PER_LANGUAGE = 16
 SAMPLE_CHARS = 4_000
 #: Rows that all languages together are learned from, at most; with many languages each gets its share.
 DOCS_IN_ALL = 512
-SALTS = 64
+#: Rows that are ranked for each that is wanted.
+OVER = 16
 SEED = 8
 #: Code points of texts that are parsed side by side, and texts below which it's faster to go one by one.
 CHUNK_CHARS = 4_000_000
@@ -212,14 +213,22 @@ def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows = docs.select(col(id_col).alias("id"), col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("body")).where(
         F.col("lang").isNotNull() & ~held_out(F.col("id")) & F.col("body").rlike(r"\p{L}")
     )
-    long = F.length("body") > SAMPLE_CHARS
-    ranked = rows.withColumn("rank", F.struct(long.alias("long"), F.xxhash64(F.lit(SEED), "id", "body").alias("hash")))
-    # The smallest hashes of each language, texts left out: first within salted parts, so that no language is one
-    # task's work.
-    part = Window.partitionBy("lang", F.pmod("rank.hash", F.lit(SALTS))).orderBy("rank")
+    kind = F.when(F.length("body") > SAMPLE_CHARS, 1).otherwise(0)
+    ranked = rows.withColumn("rank", F.struct(kind.alias("long"), F.pmod(F.xxhash64(F.lit(SEED), "id", "body"), F.lit(1 << 60)).alias("hash")))
+    # A language's smallest hashes are below a bound that its counts give: some OVER times the rows wanted are, so
+    # that no language's rows meet in one task. Texts are left out.
+    counts = rows.groupBy("lang").agg(F.count_if(kind == 0).alias("short"), F.count_if(kind == 1).alias("long"))
+
+    def bound(n: str) -> Column:
+        return F.least(F.lit(OVER * DOCS_PER_LANGUAGE) / F.greatest(F.col(n), F.lit(1)), F.lit(1.0)) * float(1 << 60)
+
+    bounds = counts.select(
+        F.col("lang").alias("of"), bound("short").alias("short_below"), F.when(F.col("short") < DOCS_PER_LANGUAGE, bound("long")).otherwise(-1.0).alias("long_below")
+    )
+    near = F.col("rank.hash") <= F.when(F.col("rank.long") == 0, F.col("short_below")).otherwise(F.col("long_below"))
+    few = ranked.select("lang", "rank").join(small(cut(bounds, "bounds")), F.col("lang") == F.col("of")).where(near).select("lang", "rank").distinct()
     whole = Window.partitionBy("lang").orderBy("rank")
-    chosen = ranked.select("lang", "rank").withColumn("n", F.dense_rank().over(part)).where(F.col("n") <= DOCS_PER_LANGUAGE).select("lang", "rank").distinct()
-    chosen = chosen.withColumn("n", F.row_number().over(whole)).where(F.col("n") <= DOCS_PER_LANGUAGE)
+    chosen = cut(few.withColumn("n", F.row_number().over(whole)).where(F.col("n") <= DOCS_PER_LANGUAGE), "chosen")
     names = [r[0] for r in chosen.select("lang").distinct().collect()]
     each = max(1, min(DOCS_PER_LANGUAGE, DOCS_IN_ALL // max(1, len(names))))
     picked = chosen.where(F.col("n") <= each).select(F.col("lang").alias("of"), F.col("rank").alias("at"))

@@ -23,9 +23,9 @@ WINDOW = 20
 SHINGLE = 5
 #: Bytes of text that one shard of documents holds on average.
 SHARD_BYTES = 4_000_000
-#: Bytes of text for which there is an automaton. Were all of it recurring, an automaton would be streamed some ten
-#: thousand stretches of 27 words.
-DEAL_BYTES = 600_000
+#: Bytes of text for which there is an automaton. Were all of it recurring, an automaton would be streamed some 2,500
+#: stretches of 27 words.
+DEAL_BYTES = 150_000
 #: Places of one phrase that are streamed through one automaton.
 DEAL_ROWS = 1_000
 #: Words that are hashed at a time.
@@ -111,11 +111,11 @@ class Words:
         return (high == self.shingles) & (high > 0)
 
 
-def _chunks(words: list[list[bytes]], most: int = CHUNK_WORDS) -> Iterator[tuple[int, int]]:
+def _chunks(words: list[list[bytes]]) -> Iterator[tuple[int, int]]:
     at = size = 0
     for i, w in enumerate(words):
         size += len(w)
-        if size >= most:
+        if size >= CHUNK_WORDS:
             yield at, i + 1
             at, size = i + 1, 0
     if at < len(words):
@@ -132,6 +132,19 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
 
+def _split(column) -> Iterator[tuple[int, int, list[list[bytes]]]]:
+    """Texts a to b as words, no more texts at a time than CHUNK_WORDS need."""
+    part, at, size = [], 0, 0
+    for i, t in enumerate(column.cast(pa.large_binary())):
+        part.append((t.as_py() or b"").split())
+        size += len(part[-1])
+        if size >= CHUNK_WORDS:
+            yield at, i + 1, part
+            part, at, size = [], i + 1, 0
+    if part:
+        yield at, at + len(part), part
+
+
 def _unpacked(column) -> list[list[bytes]]:
     unpack = zstandard.ZstdDecompressor().decompress
     return [unpack(t).split() for t in column.to_pylist()]
@@ -142,10 +155,9 @@ def _phrases(window: int, shingle: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [(t.as_py() or b"").split() for t in batch.column("body").cast(pa.large_binary())]
             shards = batch.column("shard").to_numpy(zero_copy_only=False)
-            for a, b in _chunks(words):
-                w = Words(words[a:b], window, shingle)
+            for a, b, words in _split(batch.column("body")):
+                w = Words(words, window, shingle)
                 at = np.flatnonzero(w.chosen())
                 pairs = np.empty(len(at), [("phrase", np.int64), ("shard", np.int32)])
                 pairs["phrase"], pairs["shard"] = w.shingles[at].view(np.int64), shards[a:b][w.doc[at]]
