@@ -51,6 +51,9 @@ def grouped(spark: SparkSession, sf_dir: str, target_script: bool = False) -> Da
 
 
 
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rw.source_rows(table(spark, sf_dir, "documents"))
+
 
 def S():
     return F.col("source_text")
@@ -81,7 +84,7 @@ def normalize_text(spark, sf_dir):
     f" CAST({sql.reading('source_text')} AS INTEGER) AS reading FROM doc_rows"
 )
 def text_metrics(spark, sf_dir):
-    return rows(spark, sf_dir).select(
+    return sources(spark, sf_dir).select(
         "doc_id", "idx", tx.word_count(S()).alias("words"), tx.char_count(S()).alias("chars"), tx.reading_length(S()).alias("reading")
     )
 
@@ -107,7 +110,7 @@ PREDICATE_ROWS = f"""SELECT -1 - i AS doc_id, CAST(0 AS INTEGER) AS idx, s AS te
 
 
 def _predicate_rows(spark, sf_dir) -> DataFrame:
-    return rows(spark, sf_dir).select("doc_id", "idx", S().alias("text")).unionByName(
+    return sources(spark, sf_dir).select("doc_id", "idx", S().alias("text")).unionByName(
         spark.createDataFrame([(-1 - i, 0, x) for i, x in enumerate(SAMPLES)], "doc_id long, idx int, text string")
     )
 
@@ -384,7 +387,7 @@ def repeat_rate_penalty(spark, sf_dir):
 @query(f"""{ROWS}, w AS (SELECT doc_id, idx, unnest(string_split({sql.t('source_text')}, ' ')) AS word FROM doc_rows)
 SELECT {sql.comparable('word')} AS token, count(*) AS n FROM w GROUP BY 1""")
 def comparable_tokens(spark, sf_dir):
-    w = rows(spark, sf_dir).select(F.explode(F.split(tx.target_spacing(S()), " ")).alias("word"))
+    w = sources(spark, sf_dir).select(F.explode(F.split(tx.target_spacing(S()), " ")).alias("word"))
     return w.groupBy(tx.comparable(F.col("word")).alias("token")).agg(F.count("*").alias("n"))
 
 
@@ -416,7 +419,7 @@ def derived_phrases(spark, sf_dir):
         F.split(tx.target_spacing(S()), " "),
         lambda x, i: F.when((i + 1 + at) % 4 == 0, "قدیمی").when(((i + 1 + at) % 4 == 1) & (at % 3 == 0), "هنرمند").otherwise(x),
     )
-    return tk.derived(rows(spark, sf_dir).select("doc_id", "idx", mixed.alias("words")), ["doc_id", "idx"])
+    return tk.derived(sources(spark, sf_dir).select("doc_id", "idx", mixed.alias("words")), ["doc_id", "idx"])
 
 
 GIVEN = ["of the", "in the", "the and"]
@@ -439,7 +442,7 @@ _tokens = f"list_filter(list_transform(string_split({sql.t('source_text')}, ' ')
 n AS (SELECT *, lead(a) OVER (PARTITION BY doc_id ORDER BY idx) AS b FROM k)
 SELECT doc_id, idx, {_straddle_sql()} AS broken FROM n WHERE b IS NOT NULL""")
 def protected_boundaries(spark, sf_dir):
-    pairs = rows(spark, sf_dir).withColumn("after", F.lead("source_text").over(gr.by_document())).where("after is not null")
+    pairs = sources(spark, sf_dir).withColumn("after", F.lead("source_text").over(gr.by_document())).where("after is not null")
     return pairs.select("doc_id", "idx", tk.straddled(S(), F.col("after"), GIVEN + [p for p in lx.PHRASES if " " in p]).alias("broken"))
 
 
@@ -519,8 +522,9 @@ def apply_decisions(spark, sf_dir):
     )
 
 
-DRAFT = f"""{BASE}, draft AS (SELECT doc_id, row_number, translate(target_text, 'eo', 'EO') AS planned_text FROM grouped WHERE kind = 'subtitle' AND group_id % 2 = 0),
-flat AS (SELECT g.*, {sql.t('coalesce(d.planned_text, g.target_text)')} AS new_text FROM grouped g LEFT JOIN draft d USING (doc_id, row_number))"""
+DRAFT = f"""{BASE}, draft AS (
+  SELECT *, CASE WHEN kind = 'subtitle' AND group_id % 2 = 0 THEN translate(target_text, 'eo', 'EO') ELSE target_text END AS planned_text FROM grouped),
+flat AS (SELECT *, {sql.t('planned_text')} AS new_text FROM draft)"""
 
 
 def _flat(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
