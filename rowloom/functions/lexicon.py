@@ -77,3 +77,6 @@ KEPT_PLANS = {"default": 12, "nwn": 18}
 SPANS = {"default": (1, 2, 3), "nwn": (1, 2, 3, 4)}
 SHOWN_PLANS = 5
 REVIEW_BATCH = 8
+
+# How many phrase notes and flagged groups are shown.
+SHOWN_PHRASES, SHOWN_FLAGGED = 10, 20

@@ -195,3 +195,30 @@ def quota(message: Column) -> Column:
 def phrase_hints(target: Column) -> Column:
     """The known phrases in a text, distinct, in the order of the list."""
     return F.filter(F.array(*[F.lit(p) for p in lx.HINT_PHRASES]), lambda p: F.contains(target, p))
+
+
+def response_text(top: Column, parts: Column) -> Column:
+    """The text of a provider's answer: its own, if it isn't blank, else the lines of its parts' texts that aren't.
+    ``parts`` is array<array<string>>: the texts of each output's contents."""
+    said = F.filter(F.flatten(F.filter(F.coalesce(parts, F.array().cast("array<array<string>>")), lambda p: p.isNotNull())), lambda x: ~is_blank(x))
+    return F.when(~is_blank(top), top).otherwise(F.trim(F.array_join(said, "\n")))
+
+
+def retry_action(message: Column) -> Column:
+    """What a client does about a failed request: struct<action, wait_ms>. ``wait`` and ask again after the time that a
+    per-minute quota names and half a second more, ``disable`` all further requests of the run after a per-day quota,
+    or ``fail`` this one."""
+    q = quota(message)
+    waits = q["is_quota"] & (q["quota_type"] == "minute") & (F.coalesce(q["retry_ms"], F.lit(0)) > 0)
+    action = F.when(waits, "wait").when(q["is_quota"] & (q["quota_type"] == "day"), "disable").otherwise("fail")
+    return F.struct(action.alias("action"), F.when(waits, q["retry_ms"] + 500).alias("wait_ms"))
+
+
+def safe_json(c: Column, schema: str) -> Column:
+    """A JSON text as a struct, null where it isn't JSON of an object."""
+    return F.when(F.coalesce(c, F.lit("")).rlike(r"^\s*\{"), F.from_json(c, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+
+
+def head(items: Column, most: int) -> Column:
+    """The first ``most`` items of an array."""
+    return F.slice(items, 1, most)

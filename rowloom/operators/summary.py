@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.functions import lexicon as lx
 from rowloom.functions import text as tx
 
 
@@ -70,3 +71,33 @@ def report_rows(planned: DataFrame, grouped: DataFrame) -> DataFrame:
         F.transform("rows", lambda x: x["target_text"]).alias("outputRows"),
     )
     return planned.join(texts, ["doc_id", "group_id"]).select("doc_id", "group_id", F.to_json(out).alias("report"))
+
+
+def review_counters(reviewed: DataFrame) -> DataFrame:
+    """A row for each document: how many of its groups a review was tried for, asked for, applied to, edited by, and
+    planned by; how many requests came to nothing; whether there was any review; and the phrases that it protects, for
+    the first SHOWN_PHRASES groups that have some.
+
+    ``reviewed`` has doc_id, group_id, row_range, the flags attempted, called, applied, edited, planning_called and
+    planning_applied, and protected (array of phrases); a null flag is false."""
+    flags = ["attempted", "called", "applied", "edited", "planning_called", "planning_applied"]
+
+    def on(name: str):
+        return F.coalesce(F.col(name), F.lit(False))
+
+    counted = [F.count_if(on(f)).alias(f"{f}_groups") for f in flags]
+    any_review = F.bool_or(on("called") | on("applied") | on("planning_called") | on("planning_applied"))
+    notes = F.collect_list(F.when(F.size(F.coalesce("protected", F.array().cast("array<string>"))) > 0, F.struct("group_id", "row_range", "protected")))
+    out = reviewed.groupBy("doc_id").agg(*counted, any_review.alias("enabled"), tx.head(F.sort_array(notes), lx.SHOWN_PHRASES).alias("notes"))
+    return out.select(
+        "doc_id",
+        "enabled",
+        *[f"{f}_groups" for f in flags],
+        (F.col("called_groups") - F.col("applied_groups")).alias("failed_groups"),
+        F.transform("notes", lambda x: F.struct(x["row_range"].alias("row_range"), x["protected"].alias("phrases"))).alias("phrase_suggestions"),
+    )
+
+
+def write_reports(reports: DataFrame, folder: str) -> None:
+    """The sink of ``report_rows``: JSON lines, a folder for each document."""
+    reports.select("doc_id", F.col("report").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(folder)

@@ -101,7 +101,7 @@ def script_flags(spark, sf_dir):
 
 # the lines of web pages and license notes have more kinds of rows than prose
 SAMPLES = [
-    "Showing the way", "AIRDATE: today", "your language here", "THIS WHOLE LINE IS LONGER THAN FORTY CAPITALS", "(VietnamPlus)",
+    "Showing a map", "AIRDATE: monday", "your language below", "EVERY LETTER OF THIS LONG LINE IS A CAPITAL ONE", "(HarbourDaily)",
     "https://example.com/a", "www.example.org", "news.tv/live", "Sources: agency", "BBC", "A B C D E", "She may leave", "March 28, 2026",
     "in 1999.", "x12345", "News Scroll", "DAILY NEWS STREAM -", "SM: Yes", "He said:", "He left, ", 'He said "no."', "Really?! ", "",
 ]
@@ -613,6 +613,188 @@ def review_batches(spark, sf_dir):
     return tk.review_batches(grouped(spark, sf_dir))
 
 
+# what a provider answers, and what is said of it
+
+
+ANSWERS = """(SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN '  ' END AS top,
+  CASE WHEN turn % 4 <> 3 THEN [[text, ' ', role], CASE WHEN turn % 2 = 0 THEN [role, NULL] END, []] END AS parts FROM conversations)"""
+
+
+@query(f"""WITH a AS {ANSWERS}, s AS (SELECT *, list_filter(flatten(list_filter(coalesce(parts, []), lambda p: p IS NOT NULL)), lambda x: {sql.n('x')} <> '') AS said FROM a)
+SELECT conv_id, turn, CASE WHEN {sql.n('top')} <> '' THEN top ELSE trim(array_to_string(said, chr(10)), ' ') END AS answer FROM s""")
+def response_texts(spark, sf_dir):
+    t, text, role = F.col("turn"), F.col("text"), F.col("role")
+    none = F.lit(None).cast("string")
+    top = F.when(t % 3 == 0, text).when(t % 3 == 1, "  ")
+    parts = F.array(F.array(text, F.lit(" "), role), F.when(t % 2 == 0, F.array(role, none)), F.array().cast("array<string>"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.response_text(top, F.when(t % 4 != 3, parts)).alias("answer"))
+
+
+@query("""WITH j AS (SELECT conv_id, turn, role, CASE turn % 4 WHEN 0 THEN '{"selected": ' || turn || ', "rationale": "' || role || '"}' WHEN 1 THEN 'not json' WHEN 2 THEN '[1]' ELSE NULL END AS body FROM conversations)
+SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN CAST(turn AS INTEGER) END AS selected, CASE WHEN turn % 4 = 0 THEN role END AS rationale FROM j""")
+def parsed_answers(spark, sf_dir):
+    t = F.col("turn")
+    body = F.when(t % 4 == 0, F.concat(F.lit('{"selected": '), t, F.lit(', "rationale": "'), "role", F.lit('"}'))).when(t % 4 == 1, "not json").when(t % 4 == 2, "[1]")
+    parsed = table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.safe_json(body, "selected int, rationale string").alias("p"))
+    return parsed.select("conv_id", "turn", "p.selected", "p.rationale")
+
+
+@query("""WITH m AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '429 PerMinute: Retry in ' || (event_id % 90) || '.25s' WHEN 1 THEN 'RESOURCE_EXHAUSTED perday' WHEN 2 THEN event_type
+  WHEN 3 THEN 'RESOURCE_EXHAUSTED PerMinute' ELSE 'PerMinute retry in 3s' END AS m FROM events)
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'wait' WHEN 1 THEN 'disable' ELSE 'fail' END AS action, CASE WHEN event_id % 5 = 0 THEN CAST((event_id % 90) * 1000 + 750 AS INTEGER) END AS wait_ms FROM m""")
+def retry_actions(spark, sf_dir):
+    n = F.col("event_id") % 5
+    said = (
+        F.when(n == 0, F.concat(F.lit("429 PerMinute: Retry in "), (F.col("event_id") % 90).cast("string"), F.lit(".25s")))
+        .when(n == 1, "RESOURCE_EXHAUSTED perday")
+        .when(n == 2, F.col("event_type"))
+        .when(n == 3, "RESOURCE_EXHAUSTED PerMinute")
+        .otherwise("PerMinute retry in 3s")
+    )
+    return table(spark, sf_dir, "events").select("event_id", tx.retry_action(said).alias("r")).select("event_id", "r.*")
+
+
+FRAGMENTS = "[s1, '', target_text, role_]"
+
+
+@query(f"""{SCRIPT}, f AS (SELECT doc_id, idx, split_part({sql.n('source_text')}, ' ', 1) AS s1, source_text, target_text, CASE WHEN idx % 2 = 0 THEN '' ELSE 'x،' END AS role_ FROM grouped),
+j AS (SELECT *, {sql.t(f"array_to_string(list_filter({FRAGMENTS}, lambda x: x <> ''), ' ')")} AS line FROM f)
+SELECT doc_id, idx, line, line <> '' AND ({sql.has('line', lx.COMMA_END)} OR {sql.has(sql.n('source_text'), lx.SOURCE_COMMA_END)})
+  AND {sql.count('line')} >= 3 AND length(line) >= 16 AS strong FROM j""")
+def joined_fragments(spark, sf_dir):
+    parts = F.array(F.split_part(tx.normalized(S()), F.lit(" "), F.lit(1)), F.lit(""), T(), F.when(F.col("idx") % 2 == 0, "").otherwise("x،"))
+    lines = grouped(spark, sf_dir, True).select("doc_id", "idx", S(), tx.joined(parts).alias("line"))
+    return lines.select("doc_id", "idx", "line", tx.strong_comma_clause(F.col("line"), S()).alias("strong"))
+
+
+# files
+
+
+@query(r"""WITH f AS (SELECT doc_id, '/in/' || lang || '/' || source || '.' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '.docx' END AS path FROM documents)
+SELECT path, CASE WHEN doc_id % 5 = 0 THEN regexp_replace(path, '^(.*)(\.[^./]*)$', '\1_done_0305_0709\2') ELSE regexp_replace(path, '\.docx$', '_done_0305_0709.docx') END AS output
+FROM f WHERE doc_id % 3 = 0""")
+def corpus_outputs(spark, sf_dir):
+    from rowloom.sources import docx
+
+    n = F.col("doc_id")
+    path = F.concat(F.lit("/in/"), "lang", F.lit("/"), "source", F.lit("."), n, F.when(n % 5 == 0, "").otherwise(".docx"))
+    found = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
+    named = found.where(n % 3 == 0).select("path").unionByName(spark.createDataFrame([("/in/gone.docx",)], "path string"))
+    at = F.lit("2026-03-05 07:09:11").cast("timestamp")
+    return docx.corpus_files(found, named).select("path", docx.output_name(F.col("path"), "_done", at).alias("output"))
+
+
+@query("""WITH f AS (SELECT doc_id, source, CASE WHEN doc_id % 4 = 0 THEN 'NWN ' ELSE 'BMD ' END || source AS path FROM documents)
+SELECT doc_id, path, CASE WHEN doc_id % 4 = 0 THEN 'nwn' ELSE 'bmd' END AS category, CASE WHEN doc_id % 4 = 0 THEN 3 ELSE 7 END AS hard FROM f""")
+def routed_profiles(spark, sf_dir):
+    from rowloom.sources import profiles as pr
+
+    path = F.concat(F.when(F.col("doc_id") % 4 == 0, "NWN ").otherwise("BMD "), "source")
+    known = spark.createDataFrame([("nwn", 3), ("default", 7)], "profileId string, hard int")
+    return pr.routed(table(spark, sf_dir, "documents").select("doc_id", path.alias("path")), known).select("doc_id", "path", "category", "profile.hard")
+
+
+# profiles in use
+
+
+@query(f"""{BASE},{sql.LINES},{sql.STATISTICS},{sql.LIMITS},{sql.RUNS},
+r AS (SELECT {RATES}, count_if(run_length = 3) / count(*) >= 0.04 OR count_if(run_length > 3) > 0 AS triple,
+  coalesce(count_if(title_date AND run_length >= 2) / nullif(count_if(title_date), 0), 0) AS merge_rate FROM runs),
+n AS (SELECT count(DISTINCT doc_id) AS files FROM grouped),
+s AS (SELECT count(DISTINCT (doc_id, group_id)) AS groups, count(*) AS n_rows FROM grouped WHERE kind = 'subtitle')
+SELECT files AS dataset_items, groups AS subtitle_groups, n_rows AS subtitle_rows, preferred_char_min || '-' || preferred_char_max AS char_range, hard_char_max AS hard,
+  preferred_word_max AS most_words, triple AS allow_triple, round(rate_2, 6) AS repeat_two, round(merge_rate, 6) AS merge_rate,
+  CAST(preferred_char_min + preferred_char_max AS INTEGER) AS range_sum, round(rate_1 + 2 * rate_2 + 3 * rate_3 + 4 * rate_4, 6) AS rates_sum
+FROM limits, r, n, s WHERE row_type IS NULL""")
+def profile_summaries(spark, sf_dir):
+    """A learned profile as it is stored, and what a report and a review request say of it."""
+    from rowloom.sources import profiles as pr
+
+    kept = pr.stored(pf.style_profile(grouped(spark, sf_dir)))
+    report = pr.learning_summary(kept)
+    payload = pr.payload_summary(kept).withColumnRenamed("profileId", "own_id")
+    counts = kept.select(F.col("profileId").alias("id"), "subtitleGroupCount", "subtitleRowCount")
+    rates = sum((F.coalesce(F.try_element_at("summary.repeatRates", F.lit(str(i))), F.lit(0.0)) * i for i in range(1, 5)), F.lit(0.0))
+    both = report.join(payload, F.col("profileId") == F.col("own_id")).join(counts, F.col("profileId") == F.col("id"))
+    return both.select(
+        F.col("datasetItemCount").alias("dataset_items"), F.col("subtitleGroupCount").alias("subtitle_groups"), F.col("subtitleRowCount").alias("subtitle_rows"),
+        F.col("preferredCharRange").alias("char_range"), F.col("hardCharLimit").alias("hard"), F.col("preferredWordMax").alias("most_words"),
+        F.col("allowTripleRepeat").alias("allow_triple"), F.round("repeatTwoRate", 6).alias("repeat_two"), F.round("titleDateMergeRate", 6).alias("merge_rate"),
+        (F.col("summary.preferredCharRange")[0] + F.col("summary.preferredCharRange")[1]).alias("range_sum"), F.round(rates, 6).alias("rates_sum"),
+    )
+
+
+# reports and requests
+
+
+@query(f"""{CHECKED}, v AS (SELECT doc_id, count(*) AS n, count_if(row_number % 10 <> 9 OR doc_id % 5 <> 0) AS written, coalesce(string_agg('Row ' || row_number || ': ' || reason, chr(10) ORDER BY row_number), '') AS failures
+  FROM checked GROUP BY doc_id)
+SELECT doc_id, n = written AND failures = '' AS valid, CASE WHEN n <> written THEN 'Output row count does not match input row count' ELSE failures END AS reasons FROM v""")
+def document_verdicts(spark, sf_dir):
+    checked = _checked(spark, sf_dir)
+    own = rows(spark, sf_dir).select("doc_id", "row_number")
+    written = own.where("row_number % 10 <> 9 or doc_id % 5 <> 0")
+    return lm.document_verdicts(own, written, checked).withColumn("reasons", F.array_join("reasons", "\n"))
+
+
+REVIEWED = f"""{BASE}, g AS (SELECT doc_id, group_id, min(row_number) AS a, max(row_number) AS b FROM grouped WHERE kind = 'subtitle' GROUP BY doc_id, group_id),
+reviewed AS (SELECT doc_id, group_id, CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END AS row_range, group_id % 2 = 0 AS attempted, group_id % 2 = 0 AND doc_id % 3 > 0 AS called,
+  group_id % 4 = 0 AND doc_id % 3 > 0 AS applied, CASE WHEN group_id % 3 > 0 THEN group_id % 8 = 0 END AS edited, group_id % 5 = 0 AS planning_called, group_id % 10 = 0 AS planning_applied FROM g)"""
+
+
+@query(f"""{REVIEWED}, p AS (SELECT doc_id, array_to_string(list(row_range ORDER BY group_id)[1:10], ',') AS ranges FROM reviewed WHERE group_id % 3 = 0 GROUP BY doc_id)
+SELECT doc_id, bool_or(called OR applied OR planning_called OR planning_applied) AS enabled, {', '.join(f"CAST(count_if({f}) AS BIGINT) AS {f}_groups" for f in ('attempted', 'called', 'applied', 'edited', 'planning_called', 'planning_applied'))},
+  CAST(count_if(called) - count_if(applied) AS BIGINT) AS failed_groups, coalesce(any_value(ranges), '') AS ranges FROM reviewed LEFT JOIN p USING (doc_id) GROUP BY doc_id""")
+def review_counters(spark, sf_dir):
+    g, d = F.col("group_id"), F.col("doc_id")
+    called = (g % 2 == 0) & (d % 3 > 0)
+    reviewed = gr.group_table(grouped(spark, sf_dir)).where("kind = 'subtitle'").select(
+        "doc_id", "group_id", "row_range", (g % 2 == 0).alias("attempted"), called.alias("called"), ((g % 4 == 0) & (d % 3 > 0)).alias("applied"), F.when(g % 3 > 0, g % 8 == 0).alias("edited"),
+        (g % 5 == 0).alias("planning_called"), (g % 10 == 0).alias("planning_applied"), F.when(g % 3 == 0, F.array(F.lit("of the"))).alias("protected"),
+    )
+    out = sm.review_counters(reviewed).withColumn("ranges", F.array_join(F.transform("phrase_suggestions", lambda x: x["row_range"]), ","))
+    return out.drop("phrase_suggestions")
+
+
+@query(f"""{SCRIPT}, g AS (SELECT doc_id, group_id, min(kind) AS kind, count(*) AS n, min(row_number) AS a, max(row_number) AS b, list(source_text ORDER BY idx) AS sources, list(row_type ORDER BY idx) AS types,
+  list(target_text ORDER BY idx) AS texts FROM grouped GROUP BY doc_id, group_id)
+SELECT doc_id, CAST((group_id - 1) // 8 AS INTEGER) AS batch, group_id, a || '-' || b AS row_range, array_to_string(sources, '|') AS sources, array_to_string(types, '|') AS types, array_to_string(texts, '|') AS targets,
+  {sql.t("array_to_string(texts, ' ')")} AS merged FROM g WHERE kind = 'subtitle' AND n >= 2""")
+def review_payloads(spark, sf_dir):
+    made = tk.review_payload(grouped(spark, sf_dir, True))
+    p = F.from_json(F.to_json("payload"), made.schema["payload"].dataType)
+    return made.withColumn("p", p).select(
+        "doc_id", "batch", "group_id", "p.row_range", F.array_join("p.source_rows", "|").alias("sources"), F.array_join("p.source_row_types", "|").alias("types"),
+        F.array_join("p.target_rows", "|").alias("targets"), F.col("p.merged_target").alias("merged"),
+    )
+
+
+def _planned(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    g, (_, _, planned) = grouped(spark, sf_dir), _flat(spark, sf_dir)
+    said = F.array(F.lit("long"), F.when(F.col("group_id") % 8 == 0, "long").otherwise("odd"), F.lit("long"))
+    return g, planned.withColumn("reasons", said).withColumn("ambiguous", F.col("group_id") % 6 == 0)
+
+
+@query(f"""{BASE}, g AS (SELECT doc_id, group_id, min(row_number) AS a, max(row_number) AS b FROM grouped WHERE kind = 'subtitle' AND group_id % 4 = 0 GROUP BY doc_id, group_id)
+SELECT doc_id, CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END AS row_range, CASE WHEN group_id % 8 = 0 THEN 'long' ELSE 'long|odd' END AS reasons FROM g""")
+def flagged_details(spark, sf_dir):
+    return sm.flagged_details(_planned(spark, sf_dir)[1]).withColumn("reasons", F.array_join("reasons", "|"))
+
+
+@query(f"""{BASE}, g AS (SELECT doc_id, group_id, min(row_number) AS a, max(row_number) AS b, list(source_text ORDER BY idx) AS s, list(target_text ORDER BY idx) AS t,
+  list(translate(target_text, 'eo', 'EO') ORDER BY idx) AS o FROM grouped WHERE kind = 'subtitle' AND group_id % 2 = 0 GROUP BY doc_id, group_id)
+SELECT doc_id, group_id, CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END AS row_range, group_id % 4 = 0 AS flagged, group_id % 6 = 0 AS ambiguous,
+  array_to_string(s, '|') AS sources, array_to_string(t, '|') AS originals, array_to_string(o, '|') AS outputs FROM g""")
+def report_rows(spark, sf_dir):
+    g, planned = _planned(spark, sf_dir)
+    kind = "rowRange string, flagged boolean, ambiguous boolean, sourceRows array<string>, originalRows array<string>, outputRows array<string>"
+    p = sm.report_rows(planned, g).withColumn("p", F.from_json("report", kind))
+    return p.select(
+        "doc_id", "group_id", F.col("p.rowRange").alias("row_range"), "p.flagged", "p.ambiguous",
+        *[F.array_join(f"p.{c}", "|").alias(n) for c, n in (("sourceRows", "sources"), ("originalRows", "originals"), ("outputRows", "outputs"))],
+    )
+
+
 @query()
 def unit_tokens(spark, sf_dir):
     return tk.unit_tokens(rows(spark, sf_dir, True).select("doc_id", "idx", tx.target_spacing(T()).alias("text")).where("text <> ''"))

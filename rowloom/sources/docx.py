@@ -6,6 +6,8 @@ The parts of a file that matter are found by local names, so any namespace prefi
 from __future__ import annotations
 
 import io
+import os
+import tempfile
 import zipfile
 from collections.abc import Iterator
 from copy import deepcopy
@@ -90,6 +92,15 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return items.select(F.explode("items.copiedPath").alias("path")).where("path is not null and path <> ''")
 
 
+def corpus_files(found: DataFrame, named: DataFrame) -> DataFrame:
+    """The files of a corpus: of ``found`` (a listing with ``path``) those that an index names, or all of them if the
+    index names none. Names that aren't there are ignored."""
+    has_names = F.broadcast(named.agg(F.count("*").alias("n_named")))  # one row
+    given = named.select(F.col("path").alias("named_path")).distinct()
+    both = found.join(has_names).join(given, F.col("path") == F.col("named_path"), "left")
+    return both.where("n_named = 0 or named_path is not null").drop("n_named", "named_path")
+
+
 def scan(files: DataFrame) -> DataFrame:
     """The rows of all files, a file at a time; a file that can't be read gives one row with ``error`` set."""
 
@@ -166,3 +177,22 @@ def output_name(path, suffix: str = "_rearranged", at=None):
     """``path`` with a suffix and a time stamp before its ending; ``at`` is a timestamp column, now by default."""
     at = F.current_timestamp() if at is None else at
     return F.regexp_replace(path, r"^(.*?)(\.[^./\\]*)?$", F.concat(F.lit("$1" + suffix + "_"), F.date_format(at, "MMdd_HHmm"), F.lit("$2")))
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """(path, written_to, size): the sink of ``rewritten``. Each executor writes its files, under their own names, to
+    ``folder``, which all of them must have mounted; a file is put in place whole, so that a task may run again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            out = []
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                to = os.path.join(folder, os.path.basename(path))
+                with tempfile.NamedTemporaryFile(dir=folder, delete=False) as f:
+                    f.write(content)
+                os.replace(f.name, to)
+                out.append({"path": path, "written_to": to, "size": len(content)})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), ("written_to", pa.string()), ("size", pa.int64())]))
+
+    return files.select("path", "content").mapInArrow(run, "path string, written_to string, size long")

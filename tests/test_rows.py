@@ -6,10 +6,12 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from rowloom.functions import lexicon as lx
 from rowloom.functions import text as tx
 from rowloom.operators import groups as gr
 from rowloom.operators import profile as pf
 from rowloom.operators import rows as rw
+from rowloom.operators import summary as sm
 from rowloom.plans import apply as ap
 from rowloom.plans.planner import Options
 from rowloom.sources import docx, profiles
@@ -27,13 +29,13 @@ def of(spark, pairs):
 
 
 def test_headers_subtitles_and_blanks(spark):
-    pairs = [("YOUR LANGUAGE:", ""), ("Traveling by open-air boat", "وقتی با قایق روباز"), ("between islands.", "میان جزیره‌ها می‌روید"), ("", None)]
+    pairs = [("YOUR LANGUAGE:", ""), ("Walking up the old stone road", "وقتی از راه سنگی"), ("above the harbour.", "بالای بندر می‌روید"), ("", None)]
     assert of(spark, pairs) == [("skip", 1), ("subtitle", 2), ("blank", 1)]
 
 
 def test_sources_and_missing_targets_part_groups(spark):
-    assert of(spark, [("Normal subtitle start", "شروع"), ("(VietnamPlus)", "(ویتنام)"), ("This continues.", "ادامه")]) == [("subtitle", 1), ("meta", 1), ("subtitle", 1)]
-    assert of(spark, [("You all would have run off.", "همتان"), ("L490-532", "")]) == [("subtitle", 1), ("locked", 1)]
+    assert of(spark, [("A plain line opens", "شروع"), ("(Harbour Daily)", "(روزنامه)"), ("It goes on.", "ادامه")]) == [("subtitle", 1), ("meta", 1), ("subtitle", 1)]
+    assert of(spark, [("Nobody was left in the hall.", "هیچ‌کس"), ("L12-40", "")]) == [("subtitle", 1), ("locked", 1)]
 
 
 @pytest.mark.parametrize(
@@ -112,6 +114,42 @@ def test_word_files_round_trip(spark, tmp_path):
     assert data.read("other.txt") == b"kept" and b"preserve" in data.read(docx.PART) and b"lightGray" not in data.read(docx.PART).split(b"preserve")[1]
 
 
+def test_files_and_reports_are_written(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a.docx", "b.docx"):
+        (tmp_path / "in" / name).write_bytes(word_file([("0", "One", "یک"), ("1", "two.", "دو")]))
+    files = docx.list_files(spark, str(tmp_path / "in"))
+    texts = docx.scan(files).select("path", "row_number", F.lit("نو").alias("new_text"))
+    for _ in range(2):  # a task may run again
+        done = docx.write_files(docx.rewritten(files, texts), str(tmp_path / "out")).collect()
+    assert sorted(x.name for x in (tmp_path / "out").iterdir()) == ["a.docx", "b.docx"] and all(r["size"] > 0 for r in done)
+    assert [r["target_text"] for r in docx.parse((tmp_path / "out" / "a.docx").read_bytes())] == ["نو", "نو"]
+    g = grouped(spark, [("One", "یک"), ("two.", "دو")])
+    sm.write_reports(sm.report_rows(ap.plan_groups(g, Options()), g), str(tmp_path / "reports"))
+    report = spark.read.json(str(tmp_path / "reports")).first()
+    assert report.rowRange == "1-2" and report.originalRows == ["یک", "دو"] and report.doc_id == 1
+
+
+def test_files_of_a_corpus(spark):
+    found = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
+    named = spark.createDataFrame([("b",), ("b",), ("gone",)], "path string")
+    assert [r.path for r in docx.corpus_files(found, named).collect()] == ["b"]
+    assert docx.corpus_files(found, named.limit(0)).count() == 3
+
+
+def test_nobody_to_ask(spark):
+    g = grouped(spark, [("One", "یک"), ("two.", "دو")])
+    out = ap.review_groups(g, None, Options())
+    asked = ap.review_groups(g, spark.createDataFrame([], "doc_id long, row_range string, ordinal int, decision struct<selected:int>").limit(0), Options())
+    assert set(out.columns) == set(asked.columns) and not out.first().attempted and out.first().rows
+
+
+def test_heads_and_freshness(spark):
+    assert spark.range(1).select(F.size(tx.head(F.sequence(F.lit(1), F.lit(30)), lx.SHOWN_FLAGGED))).first()[0] == 20
+    files = spark.createDataFrame([("a", 5), ("b", 9)], "path string, modificationTime long")
+    assert profiles.is_fresh(files, 9) and not profiles.is_fresh(files, 8) and profiles.is_fresh(files.limit(0), 0)
+
+
 def test_profiles_are_stored_and_read(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     g = gr.sentence_groups(rw.kinds(rw.rows_of_documents(docs)))
