@@ -49,7 +49,11 @@ HANDLE = r"(?:(?<![A-Za-z0-9_.@])|\G)@[A-Za-z0-9_]{3,}+"
 TITLED = r"(?:(?<!\p{L})|\G)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Sir|Madame|Monsieur|Señora?)\.?\x20\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++)?+"
 SECRET = rf"(?<!{_PLAIN})(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z]){_PLAIN}{{{LEAST_SECRET},}}+"
 CANDIDATE = f"{SECRET}|{NUMBER}|{HANDLE}|{TITLED}"
-CANDIDATE_GATE = rf"[0-9](?:[\x20()./-]*+[0-9]){{{LEAST_DIGITS - 1}}}|@[A-Za-z0-9_]{{3}}|(?:r|rs|s|of|iss|rr|au|adame|onsieur|ñora?)\.?\x20\p{{Lu}}|{_PLAIN}{{{LEAST_SECRET}}}"
+# a secret has a digit next to a letter or sign somewhere
+CANDIDATE_GATE = (
+    rf"[0-9](?:[\x20()./-]*+[0-9]){{{LEAST_DIGITS - 1}}}|@[A-Za-z0-9_]{{3}}|[0-9][A-Za-z_+/-]|[A-Za-z_+/-][0-9]"
+    r"|[MDPHFS](?:rs?|s|iss|r|rof|err|rau|ir|adame|onsieur|eñora?)\.?\x20\p{Lu}"
+)
 MORE_KINDS = {"n": "number", "h": "handle", "p": "name", "s": "secret"}
 LABELERS = ["shape", "length", "gazetteer", "context", "checksum", "variety"]
 #: Characters of a candidate's features, after its votes: kind, digits, length, separators, capitals.
