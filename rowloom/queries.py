@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowloom import sql
@@ -795,9 +795,25 @@ def report_rows(spark, sf_dir):
     )
 
 
-@query()
+@query(f"""WITH RECURSIVE {sql.rows_cte(True)},{sql.units_cte(f"SELECT doc_id, idx, string_split(t, ' ') AS w FROM (SELECT doc_id, idx, {sql.t('target_text')} AS t FROM doc_rows) WHERE t <> ''")}
+SELECT doc_id, idx, n_units, array_to_string(units, '|') AS units FROM units""")
 def unit_tokens(spark, sf_dir):
-    return tk.unit_tokens(rows(spark, sf_dir, True).select("doc_id", "idx", tx.target_spacing(T()).alias("text")).where("text <> ''"))
+    texts = rows(spark, sf_dir, True).select("doc_id", "idx", tx.target_spacing(T()).alias("text")).where("text <> ''")
+    return tk.unit_tokens(texts).withColumn("units", F.array_join("units", "|"))
+
+
+UNIT_SAMPLES = [
+    "او گفت \"صبح بخیر\" و رفت", "در پی این خبر کریستف کلمب بازگشت", "مردم شگفت‌انگیز مغولستان در نیروی خدای قادر مطلق", "«یک دو» سه «چهار پنج", "درحالیکه آمد در حالی که رفت",
+    "در سال 1990 م بود و 25 کیلومتر رفت", "alpha beta گاما delta", "کتابِ من نمی‌ خواند می‌رود گفته شده است", "خدای قادر", "-- ... قادر مطلق", "",
+]
+
+
+@query(f"""WITH RECURSIVE {sql.units_cte("SELECT doc_id, idx, string_split(t, ' ') AS w FROM (SELECT CAST(k AS BIGINT) AS doc_id, 0 AS idx, " + sql.t('x') + " AS t FROM (VALUES " + ", ".join(f"({k}, {sql.q(x)})" for k, x in enumerate(UNIT_SAMPLES)) + ") v(k, x)) WHERE t <> ''")}
+SELECT doc_id, idx, n_units, array_to_string(units, '|') AS units FROM units""")
+def unit_samples(spark, sf_dir):
+    """Units of sentences that hold what the tables lack: quotes, phrases, numbers, joined forms and verb parts."""
+    texts = spark.createDataFrame(list(enumerate(UNIT_SAMPLES)), "doc_id long, x string").select("doc_id", F.lit(0).alias("idx"), tx.target_spacing(F.col("x")).alias("text"))
+    return tk.unit_tokens(texts.where("text <> ''")).withColumn("units", F.array_join("units", "|"))
 
 
 def _options(spark, sf_dir, g: DataFrame) -> pl.Options:
@@ -806,9 +822,31 @@ def _options(spark, sf_dir, g: DataFrame) -> pl.Options:
     return options_of(pf.style_profile(g).first())
 
 
-@query()
+PROFILE_LIMITS = ["line_count", *lm.NAMES, "observed_char_max", "observed_word_max"]
+
+
+@query(f"""{BASE},{sql.LINES},{sql.STATISTICS},{sql.LIMITS},{sql.RUNS},
+r AS (SELECT {', '.join(f'count_if({c}) AS runs_{i}' for i, c in ((1, 'run_length = 1'), (2, 'run_length = 2'), (3, 'run_length = 3'), (4, 'run_length > 3')))}, count(*) AS n,
+  count_if(title_date) AS observed_pairs, count_if(title_date AND run_length >= 2) AS merged_pairs FROM runs)
+SELECT 'default' AS profile_id, {', '.join(f'CAST(runs_{i} AS BIGINT) AS runs_{i}, round(CASE WHEN n = 0 THEN 0.0 ELSE runs_{i} / n END, 6) AS rate_{i}' for i in range(1, 5))},
+  coalesce(runs_3 / nullif(n, 0) >= 0.04, false) OR runs_4 > 0 AS allow_triple, CAST(observed_pairs AS BIGINT) AS observed_pairs, CAST(merged_pairs AS BIGINT) AS merged_pairs,
+  round(CASE WHEN observed_pairs = 0 THEN 0.0 ELSE merged_pairs / observed_pairs END, 6) AS merge_rate,
+  (SELECT count(DISTINCT (doc_id, group_id)) FROM grouped WHERE kind = 'subtitle') AS subtitle_group_count, (SELECT count(*) FROM grouped WHERE kind = 'subtitle') AS subtitle_row_count,
+  (SELECT count(DISTINCT doc_id) FROM grouped) AS dataset_item_count, (SELECT concat_ws(':', {', '.join(PROFILE_LIMITS)}) FROM limits WHERE row_type IS NULL) AS overall,
+  (SELECT string_agg(concat_ws(':', row_type, {', '.join(PROFILE_LIMITS)}), '|' ORDER BY row_type) FROM limits WHERE row_type IS NOT NULL) AS by_row_type FROM r""")
 def style_profile(spark, sf_dir):
-    return pf.style_profile(grouped(spark, sf_dir))
+    """The whole profile, its limits by row type as text."""
+
+    def joined(*parts: Column) -> Column:
+        return F.concat_ws(":", *[p.cast("string") for p in parts])
+
+    found = pf.style_profile(grouped(spark, sf_dir))
+    types = F.transform(F.array_sort(F.map_keys("by_row_type")), lambda k: joined(k, *[F.element_at("by_row_type", k)[n] for n in PROFILE_LIMITS]))
+    return found.select(
+        "profile_id", *[f"runs_{i}" for i in range(1, 5)], *[F.round(f"rate_{i}", 6).alias(f"rate_{i}") for i in range(1, 5)], "allow_triple", "observed_pairs", "merged_pairs",
+        F.round("merge_rate", 6).alias("merge_rate"), "subtitle_group_count", "subtitle_row_count", "dataset_item_count", joined(*[F.col("overall")[n] for n in PROFILE_LIMITS]).alias("overall"),
+        F.array_join(types, "|").alias("by_row_type"),
+    )
 
 
 @query()

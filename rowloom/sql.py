@@ -158,3 +158,39 @@ runs AS (
 
 def base(target_script: bool = False) -> str:
     return f"WITH {rows_cte(target_script)},{kinds_cte()},{GROUPS}"
+
+
+def _phrases(size: int) -> str:
+    """Whether a fixed phrase of ``size`` words starts at a token."""
+    following = ["c", *(f"lead(c, {k}) OVER l" for k in range(1, size))]
+    return "coalesce(concat_ws(' ', " + ", ".join(following) + f") IN {words([p for p in lx.PHRASES if p.count(' ') == size - 1])}, false)"
+
+
+def units_cte(texts: str) -> str:
+    """``units`` of the (doc_id, idx, w) that ``texts`` selects: what may join two words is found for all words at once;
+    then a walk along each text opens units, at a phrase or at a word that doesn't belong to the open unit."""
+    clean = f"regexp_replace(word, {q(lx.IGNORED_IN_TOKENS)}, '', 'g')"
+    return f"""
+texts AS ({texts}),
+text_words AS (SELECT doc_id, idx, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM texts),
+tokens AS (SELECT *, {comparable('word')} AS c, {clean} AS bare, length(regexp_replace(word, '[^«"]', '', 'g')) AS marks FROM text_words),
+classes AS (SELECT *, {adjective('c')} AS adj, {content('c')} AS con FROM tokens),
+joints AS (
+  SELECT doc_id, idx, pos, sum(marks) OVER l AS so_far,
+    CASE WHEN con AND lead(adj) OVER l AND coalesce(lead(con, 2) OVER l OR lead(adj, 2) OVER l, false) OR {_phrases(3)} THEN 3
+      WHEN (con OR adj) AND lead(adj) OVER l OR {_phrases(2)} THEN 2 WHEN {_phrases(1)} THEN 1 ELSE 0 END AS phrase,
+    coalesce((regexp_matches(lag(bare) OVER l, '[A-Za-z]') AND regexp_matches(bare, '[A-Za-z]'))
+      OR (length(bare) <= 4 AND regexp_matches(lag(bare) OVER l, '[0-9]')) OR right(lag(bare) OVER l, 1) IN ('\u0650', '\u200c')
+      OR bare IN {words(lx.AUXILIARIES)} OR starts_with(bare, 'می\u200c') OR starts_with(bare, 'نمی\u200c'), false) AS sticks
+  FROM classes WINDOW l AS (PARTITION BY doc_id, idx ORDER BY pos)),
+joint_lists AS (SELECT doc_id, idx, list(phrase ORDER BY pos) AS phrase, list(sticks ORDER BY pos) AS sticks, list(so_far ORDER BY pos) AS so_far FROM joints GROUP BY doc_id, idx),
+walk AS (
+  SELECT doc_id, idx, w, phrase, sticks, so_far, 1 AS place, CAST(NULL AS INTEGER) AS began, CAST([] AS INTEGER[]) AS starts FROM texts JOIN joint_lists USING (doc_id, idx)
+  UNION ALL
+  SELECT doc_id, idx, w, phrase, sticks, so_far, CAST(place + CASE WHEN on_it THEN 1 ELSE greatest(1, phrase[place]) END AS INTEGER),
+    CASE WHEN on_it THEN began WHEN phrase[place] = 0 THEN place END, CASE WHEN on_it THEN starts ELSE list_append(starts, place) END
+  FROM (SELECT *, began IS NOT NULL AND (sticks[place] OR (so_far[place - 1] - coalesce(so_far[began - 1], 0)) % 2 = 1) AS on_it FROM walk WHERE place <= len(w))),
+units AS (
+  SELECT doc_id, idx, CAST(len(starts) AS INTEGER) AS n_units,
+    list_transform(range(1, len(starts) + 1), lambda i: array_to_string(w[starts[i] : coalesce(starts[i + 1] - 1, len(w))], ' ')) AS units
+  FROM walk WHERE place > len(w))"""
