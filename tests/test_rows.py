@@ -173,3 +173,16 @@ def test_dropped_files_are_planned(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_a_profile_of_nothing(spark):
+    from rowloom.operators import profile as pf
+
+    kind = "doc_id long, group_id int, idx int, row_type string, kind string, target_text string"
+    none = pf.style_profile(spark.createDataFrame([], kind)).first()
+    assert none["overall"] is None and none["by_row_type"] == {} and none["dataset_item_count"] == 0 and not none["allow_triple"]
+    locked = [(1, 1, 0, "normal", "locked", ""), (1, 2, 1, "normal", "subtitle", None), (2, 1, 0, "title", "subtitle", "a b"), (2, 1, 1, "date", "subtitle", "a  b")]
+    few = pf.style_profile(spark.createDataFrame(locked, kind)).first()
+    assert (few["dataset_item_count"], few["subtitle_group_count"], few["subtitle_row_count"]) == (2, 2, 3)
+    assert sorted(few["by_row_type"]) == ["date", "title"] and few["overall"]["line_count"] == 2
+    assert (few["runs_1"], few["runs_2"], few["observed_pairs"], few["merge_rate"]) == (0, 1, 1, 1.0)
