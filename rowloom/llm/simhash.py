@@ -23,6 +23,8 @@ SEGMENTS = 2
 DENSE = 64
 #: Fingerprints that a task makes the probes of.
 PRINTS_PER_TASK = 20_000
+#: Rows up to which a table is broadcast here: each one passes through the driver, and a run has about two dozen.
+BROADCAST_ROWS = 50_000
 #: Shingle hashes whose bits are unpacked at a time: 64 bytes each.
 CHUNK = 1 << 16
 
@@ -134,12 +136,12 @@ def links(prints: DataFrame, name: str = "fp", dense: int = DENSE) -> DataFrame:
     entries, probes = table.select(F.col("u").alias("v"), "segment", "value"), _segments(own, _half_ball)
     beside = None
     if not crowded.isEmpty():
-        crowded = small(crowded)
+        crowded = small(crowded, BROADCAST_ROWS)
         beside = _segments(own, _ball).join(crowded, ["segment", "value"], "left_semi").select("u").distinct()
         entries = entries.join(crowded, ["segment", "value"], "left_anti")
         # A fingerprint in a dense entry doesn't probe around it: what is near it there is beside a dense entry too.
         dealt = table.join(crowded, ["segment", "value"], "left_semi").groupBy("u").agg(F.expr("bit_or(shiftleft(1, segment))").alias("in"))
-        probes = probes.join(small(cut(dealt.withColumnRenamed("u", "member"), "members")), F.col("u") == F.col("member"), "left").where(
+        probes = probes.join(small(cut(dealt.withColumnRenamed("u", "member"), "members"), BROADCAST_ROWS), F.col("u") == F.col("member"), "left").where(
             F.expr("coalesce(`in`, 0) & shiftleft(1, segment) = 0")
         )
     found = probes.join(entries, ["segment", "value"]).where(apart).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -154,7 +156,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     light = docs.select(col(id_col).alias("id"), text_key(body).alias("key"), body.alias("body"))
     rows = cut(add_fingerprint(light, "body", "fp"), "fingerprints")
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
-    roots = components(links(distinct.select("fp"))).toDF("node", "other_root")
+    roots = components(links(distinct.select("fp")), rows=BROADCAST_ROWS).toDF("node", "other_root")
     labelled = cut(
         distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
             F.col("fp").alias("print"), "low", F.coalesce("other_root", "fp").alias("root")
@@ -163,8 +165,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     # written first, so that the join on the root is a plain one, which adaptive execution can split
     lowest = cut(labelled.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
-    by_print = cut(labelled.join(small(lowest), "root").select("print", "root", "component_id"), "components")
-    return rows.join(small(by_print), F.col("fp") == F.col("print")).drop("print")
+    by_print = cut(labelled.join(small(lowest, BROADCAST_ROWS), "root").select("print", "root", "component_id"), "components")
+    return rows.join(small(by_print, BROADCAST_ROWS), F.col("fp") == F.col("print")).drop("print")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,7 +192,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # rows of a component's smallest id: one, but where ids repeat
     lows = rows.where("low").groupBy("root", "id", "key").agg(F.count("*").alias("n"))
     best = cut(lows.groupBy("root").agg(F.min(F.struct("key", "id", "n")).alias("best")).select("root", "best.*"), "best")
-    gone_lows = lows.join(small(best.select(F.col("root").alias("best_root"), F.col("key").alias("best_key"))), F.col("root") == F.col("best_root"))
+    gone_lows = lows.join(small(best.select(F.col("root").alias("best_root"), F.col("key").alias("best_key")), BROADCAST_ROWS), F.col("root") == F.col("best_root"))
     goes = rows.where("not low").select("id", "key").unionByName(
         gone_lows.where((F.col("key") != F.col("best_key")) | (F.col("n") > 1)).select("id", "key")
     )
@@ -199,9 +201,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     wide = docs.withColumn(key, text_key(text_or_empty(text_col)))
     same = col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key))
     columns = [col(c) for c in docs.columns]
-    out = wide.join(small(goes), same, "left_anti").select(*columns)
+    out = wide.join(small(goes, BROADCAST_ROWS), same, "left_anti").select(*columns)
     repeated = cut(best.where("n > 1").select("id", "key"), "repeated").toDF(gone_id, gone_key)
     if repeated.isEmpty():
         return out
-    one = wide.join(small(repeated), same, "left_semi").dropDuplicates([id_col, key]).select(*columns)
+    one = wide.join(small(repeated, BROADCAST_ROWS), same, "left_semi").dropDuplicates([id_col, key]).select(*columns)
     return out.unionByName(one)

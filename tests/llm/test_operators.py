@@ -195,6 +195,23 @@ def test_links_connect_all_near_values(spark, dense):
             assert same == (find(a) == find(b))
 
 
+def test_groups_past_their_broadcast_limit(spark, monkeypatch):
+    asked = []
+
+    def counted(df, rows=None, size=None):
+        asked.append(rows)
+        return common.small(df, rows, size)
+
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 2)
+    for module in (simhash, graph):
+        monkeypatch.setattr(module, "small", counted)
+    rows = odd_rows()
+    out = simhash.groups(docs(spark, rows), "doc_id").select("doc_id", simhash.hex_digits(F.col("fp")), "component_id")
+    assert plain(out) == sorted(brute.groups(rows), key=repr)
+    ids = [r.doc_id for r in simhash.keep_one(docs(spark, [r for r in rows if r != (9, OTHER)])).collect()]
+    assert len(ids) == len(set(ids)) and set(asked) == {2}
+
+
 def test_one_of_each_group_stays(spark):
     rows = [r for r in odd_rows() if r != (9, OTHER)]
     out = simhash.keep_one(docs(spark, rows))
