@@ -78,7 +78,8 @@ def reviewed(rows: Sequence[pl.Row], decision: dict | None, options: pl.Options)
     """A group's plan with a decision folded in: hints plan anew, then a choice, then edits; what fails leaves a reason.
 
     A rationale counts as a reason, so a valid choice with one and nothing else isn't ``applied``."""
-    group = pl.plan_group(rows, options)
+    pieces: dict[str, pl.Pieces] = {}
+    group = pl.plan_group(rows, options, pieces)
     group |= {"attempted": False, "applied": False, "planning_applied": False, "edited": False, "protected": [], "suggestions": []}
     if len(rows) < 2:
         return group
@@ -98,6 +99,7 @@ def reviewed(rows: Sequence[pl.Row], decision: dict | None, options: pl.Options)
             dataclasses.replace(
                 options, block_sizes=h["block_sizes"], phrases=h["phrases"], single_rows=frozenset(h["single_rows"]), merge_rows=frozenset(h["merge_rows"])
             ),
+            pieces if list(h["phrases"]) == list(options.phrases) else None,
         )
         if not again["flagged"]:
             group |= again
