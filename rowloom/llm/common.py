@@ -106,14 +106,20 @@ def discard(df: DataFrame) -> None:
     _file_system(spark, df._cut_path).delete(spark._jvm.org.apache.hadoop.fs.Path(df._cut_path), True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` with a hint that an equality join with it shuffles both sides. Without one Spark goes by its own sizes, which
+    it takes from files: after an explode they are far too low, and it broadcasts millions of rows through the driver."""
+    return df.hint("merge")
+
+
 def small(df: DataFrame, rows: int | None = None, size: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows and ``size`` bytes (as JSON, which
-    is longer than Spark's own form of numbers and strings), else as it is, for a shuffled join that adaptive
+    is longer than Spark's own form of numbers and strings), else with the hint of ``shuffled``, for a join that adaptive
     execution may split where keys are skewed. Call it on the result of ``cut``."""
     rows, size = BROADCAST_ROWS if rows is None else rows, BROADCAST_BYTES if size is None else size
     lengths = df.select(F.octet_length(F.to_json(F.struct(*df.columns))).alias("n")).limit(rows + 1)
     n, total = lengths.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and total <= size else df
+    return F.broadcast(df) if n <= rows and total <= size else shuffled(df)
 
 
 def barrier(df: DataFrame, value: Column, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowloom.llm.common import col, cut, fresh, small, text_key, text_or_empty
+from rowloom.llm.common import col, cut, fresh, shuffled, small, text_key, text_or_empty
 from rowloom.llm.graph import components
 
 SHINGLE = 3
@@ -144,7 +144,8 @@ def links(prints: DataFrame, name: str = "fp", dense: int = DENSE) -> DataFrame:
         probes = probes.join(small(cut(dealt.withColumnRenamed("u", "member"), "members"), BROADCAST_ROWS), F.col("u") == F.col("member"), "left").where(
             F.expr("coalesce(`in`, 0) & shiftleft(1, segment) = 0")
         )
-    found = probes.join(entries, ["segment", "value"]).where(apart).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    found = probes.join(shuffled(entries), ["segment", "value"]).where(apart)
+    found = found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     if beside is not None:
         found = found.unionByName(_met(beside).where(apart))
     return found.distinct()
@@ -158,7 +159,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
     roots = components(links(distinct.select("fp")), rows=BROADCAST_ROWS).toDF("node", "other_root")
     labelled = cut(
-        distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
+        distinct.join(shuffled(roots), F.col("fp") == F.col("node"), "left").select(
             F.col("fp").alias("print"), "low", F.coalesce("other_root", "fp").alias("root")
         ),
         "roots",

@@ -212,6 +212,20 @@ def test_groups_past_their_broadcast_limit(spark, monkeypatch):
     assert len(ids) == len(set(ids)) and set(asked) == {2}
 
 
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_probes_and_large_tables_are_not_broadcast(spark):
+    """However small Spark takes their files to be: it sizes the probes, 33 for each print, as it does the prints."""
+    prints = spark.range(300).select(F.xxhash64("id").alias("fp"))
+    assert "Broadcast" not in planned(simhash.links(prints))
+    counted = common.cut(prints, "counted")
+    assert "Broadcast" in planned(prints.join(common.small(counted, 300), "fp"))
+    for kind in ("inner", "left", "left_semi", "left_anti"):
+        assert "Broadcast" not in planned(prints.join(common.small(counted, 299), "fp", kind))
+
+
 def test_one_of_each_group_stays(spark):
     rows = [r for r in odd_rows() if r != (9, OTHER)]
     out = simhash.keep_one(docs(spark, rows))
