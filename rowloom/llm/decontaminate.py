@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import alnum_words, col, cut, fresh, small, text_key, text_or_empty
+from rowloom.llm.common import alnum_words, col, cut, fresh, shuffled, small, text_key, text_or_empty
 from rowloom.llm.grams import gram_counts, gram_places, grams, words_around
 
 WINDOW = 13
@@ -58,7 +58,7 @@ def _matched(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item
     # with a shingle that no document has can't occur at all.
     counts = gram_counts(docs, text_col, small(wanted), sizes)
     prefix = (
-        shingles.join(counts, "h")
+        small(shingles).join(shuffled(counts), "h")
         .groupBy("window", "n", "size")
         .agg(F.count("*").alias("had"), F.min(F.struct("times", "off", "h")).alias("rarest"))
         .where(F.col("had") == F.col("n") - F.col("size") + 1)
@@ -92,7 +92,7 @@ def _matched(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item
         .groupBy("key")
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
     )
-    return rows, spans.join(items, "key").select("key", _covered(F.col("spans")).alias("n_hit"), "items")
+    return rows, spans.join(shuffled(items), "key").select("key", _covered(F.col("spans")).alias("n_hit"), "items")
 
 
 def contamination(
@@ -121,7 +121,7 @@ def contamination(
     rows, hits = _matched(docs, bench, id_col, text_col, item_id, item_text, window, shingle)
     hits = cut(hits, "hits").withColumnRenamed("key", "hit_key")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
-    return rows.join(hits, F.col("key") == F.col("hit_key"), "left").select(
+    return rows.join(small(hits), F.col("key") == F.col("hit_key"), "left").select(
         F.col("id").alias(id_col),
         "n_words",
         n_hit.alias("n_hit"),
@@ -136,7 +136,7 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id",
     words = rows.groupBy("key").agg(F.min("n_words").alias("n_words"))
     gone, key = fresh(docs, "clean_gone"), fresh(docs, "clean_key")
     goes = cut(
-        hits.join(words, "key").where((F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))).select(F.col("key").alias(gone)),
+        hits.join(shuffled(words), "key").where((F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))).select(F.col("key").alias(gone)),
         "contaminated",
     )
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import col, cut, fresh, let, small, space_words, text_key, text_or_empty
+from rowloom.llm.common import col, cut, fresh, let, shuffled, small, space_words, text_key, text_or_empty
 from rowloom.llm.prefix import with_prefix
 
 # Weights of the sources in code point order (repeating), the mix's size as a share of all words, and
@@ -123,7 +123,7 @@ def _slots(targets: DataFrame, block: int, slots_per_shard: int, seed: int) -> D
     if drawn is not None:
         numbered = cut(with_prefix(drawn, ["source_rank", "out_shard", "out_slot"], {}, "place"), "drawn")
         starts = numbered.groupBy("source_rank").agg(F.min("place").alias("begin"))
-        known = cut(wanted.join(starts, "source_rank").select(F.col("source_rank").alias("of"), "blocks", each.alias("each"), "begin"), "starts")
+        known = cut(wanted.join(shuffled(starts), "source_rank").select(F.col("source_rank").alias("of"), "blocks", each.alias("each"), "begin"), "starts")
         made = made.unionByName(
             numbered.join(small(known), F.col("source_rank") == F.col("of")).select(
                 "source_rank", "blocks", (F.col("each") + F.col("place") - F.col("begin")).alias("k"), "out_shard", "out_slot"
@@ -206,13 +206,13 @@ def mix(
     placed = placed.withColumn("start", F.col("before") - F.col("source_from"))
     taken = (
         _in_blocks(placed, block, "rank")
-        .join(reads, ["source_rank", "block"])
+        .join(shuffled(reads), ["source_rank", "block"])
         .groupBy("rank")
         .agg(
             F.sum(F.col("reads") * F.col("words_here")).alias("taken")
         )
     )
-    result = placed.join(taken, "rank", "left").select(
+    result = placed.join(shuffled(taken), "rank", "left").select(
         F.col("id").alias(id_col),
         F.col("source").alias(source_col),
         "size",
@@ -261,7 +261,7 @@ def mixed_blocks(
         _in_blocks(result, block, "start", "key")
         .groupBy("key")
         .agg(F.collect_set(F.struct("source_rank", "block", "at", "words_here", "start")).alias("pieces"))
-        .join(texts, F.col("key") == F.col("text_key"))
+        .join(shuffled(texts), F.col("key") == F.col("text_key"))
         .select(
             let(
                 space_words(F.col("text")),
@@ -281,7 +281,7 @@ def mixed_blocks(
     blocks = pieces.groupBy("source_rank", "block").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("from", "words"))), lambda p: p["words"])).alias("words")
     )
-    return slots.join(blocks, ["source_rank", "block"]).select("out_shard", "out_slot", "source_rank", "block", "epoch", "words")
+    return slots.join(shuffled(blocks), ["source_rank", "block"]).select("out_shard", "out_slot", "source_rank", "block", "epoch", "words")
 
 
 def resample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
@@ -302,7 +302,7 @@ def resample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     )
     rows = result.groupBy(col(id_col).alias("row_id"), F.col("key").alias("row_key")).agg(F.count("*").alias("rows"))
     copies = cut(
-        copies.where("n > 0").join(rows, F.col("id").eqNullSafe(F.col("row_id")) & (F.col("key") == F.col("row_key"))).select("id", "key", "n", "rows"), "copies"
+        copies.where("n > 0").join(shuffled(rows), F.col("id").eqNullSafe(F.col("row_id")) & (F.col("key") == F.col("row_key"))).select("id", "key", "n", "rows"), "copies"
     )
     own_key, times = fresh(docs, "mix_own_key"), fresh(docs, "mix_times")
     columns = [col(c) for c in docs.columns]

@@ -415,6 +415,13 @@ def test_the_mix_in_blocks(spark):
     assert mixing.mixed_blocks(empty(spark)).count() == 0
 
 
+def test_words_in_blocks_are_not_broadcast(spark):
+    """However small Spark takes the file of the documents to be that they are exploded from."""
+    plan = planned(mixing.mix(docs(spark), block=8, slots_per_shard=64)[0])
+    assert re.search(r"SortMergeJoin \[source_rank#\d+L?, block#", plan) and re.search(r"SortMergeJoin \[rank#", plan)
+    assert not re.search(r"BroadcastHashJoin \[(source_rank|rank)#", plan)
+
+
 def test_resample(spark):
     rows = [(i, prose(30)) for i in range(300)]
     out = mixing.resample(docs(spark, rows))
